@@ -26,7 +26,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     return slim.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text"), counts  # ids: 2 * per_class rows at most
 
 
-def platt(score, y, weight, rounds: int = 50, ridge: float = 1e-3) -> tuple[float, float]:
+def platt(score, y, weight, rounds: int = 50, ridge: float = 1e-5) -> tuple[float, float]:
     """(a, b) of sigmoid(a * score + b), by Newton's method on the weighted log loss; a stays positive."""
     import numpy as np
 
