@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import line_crf, mixing, packing, quality_rules, simhash, toxicity
+from siftwell.llm import chat, html_text, line_crf, mixing, packing, quality_rules, simhash, toxicity
 from siftwell.llm.common import table
 
 
@@ -19,6 +19,16 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = spark.createDataFrame([(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], "conv_id bigint, turn bigint, role string, text string")
+    own = table(spark, sf_dir, "conversations").select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in control.schema.fields])
+    return chat.digest_conversations(own.unionByName(control))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.apply_rules(table(spark, sf_dir, "documents"), with_text=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -40,10 +50,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_chat_template": op5_chat_template,
+    "op6_html_text": op6_html_text,
     "op7_quality_rules": op7_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_mix_sources": op9_mix_sources,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {"op9_mix_sources": mixing.MIX_SQL}
+ORACLES: dict[str, str] = {"op5_chat_template": chat.CHAT_SQL, "op9_mix_sources": mixing.MIX_SQL}
