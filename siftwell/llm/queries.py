@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import chat, cover_tree, html_text, line_crf, mixing, packing, quality_rules, simhash, toxicity
+from siftwell.llm import chat, cover_tree, html_text, line_crf, mixing, packing, quality_rules, revisits, simhash, toxicity
 from siftwell.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.resolve_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_cover_tree_top_k": op2_cover_tree_top_k,
+    "op3_warc_revisits": op3_warc_revisits,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_chat_template": op5_chat_template,
     "op6_html_text": op6_html_text,
@@ -63,4 +68,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {"op2_cover_tree_top_k": cover_tree.TOP_K_SQL, "op5_chat_template": chat.CHAT_SQL, "op9_mix_sources": mixing.MIX_SQL}
+ORACLES: dict[str, str] = {"op2_cover_tree_top_k": cover_tree.TOP_K_SQL, "op3_warc_revisits": revisits.REVISITS_SQL, "op5_chat_template": chat.CHAT_SQL, "op9_mix_sources": mixing.MIX_SQL}
