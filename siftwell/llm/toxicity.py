@@ -217,7 +217,7 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, roun
 
 def spread(words: list[str], most: int) -> list[str]:
     """Greedy k-centre picks: each next landmark is the word that those so far cover least."""
-    vec = vectors(words[:400])
+    vec = vectors(words[:200])
     sims = vec @ vec.T
     picked = [0]
     cover = sims[0].copy()
