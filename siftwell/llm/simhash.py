@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import discard, materialize
+from siftwell.llm.common import discard, materialize, slices, texts
 
 BITS = 64
 SEED = 42
@@ -71,11 +71,11 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 3) -> DataFra
     """(doc_id, fp): the fingerprint as a signed long of the same bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    slim = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id bigint, fp bigint")
 
 
@@ -186,6 +186,13 @@ def near_masks(bits: list[int], most: int) -> list[int]:
     return [signed(sum(1 << b for b in c)) for t in range(most + 1) for c in combinations(bits, t)]
 
 
+def probe_keys(k: int, bits: list[int], most: int) -> Column:
+    """array<struct<k, v>>: the values of partition k within ``most`` bits of the fingerprint's own."""
+    own = value_of("fp", bits)
+    masks = F.array(*[F.lit(x).cast("bigint") for x in near_masks(bits, most)])
+    return F.transform(masks, lambda x: F.struct(F.lit(k).alias("k"), own.bitwiseXOR(x).alias("v")))
+
+
 def links(fps: DataFrame, radius: int = RADIUS, hot_bucket: int = 128) -> DataFrame:
     """(u, v), u < v: links between distinct fingerprints whose closure is that of all links.
 
@@ -196,14 +203,7 @@ def links(fps: DataFrame, radius: int = RADIUS, hot_bucket: int = 128) -> DataFr
     plan, total = plan_search(fps, radius)
     if total < 2:
         return fps.select(F.col("fp").alias("u"), F.col("fp").alias("v")).where(F.lit(False))
-    keys = []
-    for k, (bits, most) in enumerate(plan):
-        v = value_of("fp", bits)
-        if most:
-            masks = F.array(*[F.lit(x).cast("bigint") for x in near_masks(bits, most)])
-            keys.append(F.transform(masks, lambda x, k=k, v=v: F.struct(F.lit(k).alias("k"), v.bitwiseXOR(x).alias("v"))))
-        else:
-            keys.append(F.array(F.struct(F.lit(k).alias("k"), v.alias("v"))))
+    keys = [probe_keys(k, bits, most) for k, (bits, most) in enumerate(plan)]
     probes = fps.select("fp", F.explode(F.concat(*keys)).alias("s")).select("fp", "s.k", "s.v")
     # Bucket sizes first (partial sums), so that a hot bucket is known before anything is gathered.
     sizes = probes.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
@@ -274,7 +274,15 @@ def near_groups(docs: DataFrame, text: str = "text", radius: int = RADIUS, width
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
-    """The pipeline's form: the document with the least id of each group stays, one row of it."""
-    groups = near_groups(docs)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text", "lang", "source", "n_chars")
+    """The pipeline's form: the document with the least id of each group stays, one row of it. Rows without
+    a doc_id stay as they are: nothing names them.
+
+    Texts are shuffled once, to meet the ids that stay (hashed, so the texts are not sorted); only ids
+    that came in several rows are grouped."""
+    cols = ["doc_id", "text", "lang", "source", "n_chars"]
+    groups, _ = materialize(near_groups(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "keep")
+    kept = docs.select(*cols).join(groups.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    again = groups.where("n > 1").select("doc_id")
+    if not again.isEmpty():
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*cols).unionByName(docs.where(F.col("doc_id").isNull()).select(*cols))
