@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import crc_fold
+from siftwell.llm.common import crc_fold, slices, texts
 from siftwell.llm.sampling import labelled_sample, platt
 
 SYMBOLS = "#*$%&|<>"
@@ -251,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int =
     sample, counts = labelled_sample(docs, labels, "quality", modulus, held_out, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             parts = [document_lines(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([[bytes(q) for q in f] for f, _ in parts], pa.list_(pa.binary())), pa.array([s for _, s in parts], pa.list_(pa.int64()))],
@@ -265,10 +265,10 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int =
 
 def score(docs: DataFrame, model: LineCRF, carry: tuple[str, ...] = ("doc_id",), threshold: float = 0.3) -> DataFrame:
     """``carry`` columns of every row, its score and prediction."""
-    slim = docs.select(*[F.col(c) for c in carry], F.col("text").cast("string").alias("__text"))
+    slim = texts(docs).select(*[F.col(c) for c in carry], F.col("text").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             s = model.scores(batch.column(len(carry)).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*carry, "score", "predicted"])
 

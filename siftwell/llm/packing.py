@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import materialize
+from siftwell.llm.common import materialize, slices, texts
 from siftwell.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, vocabulary: str, text: str = "text", capacity: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, step = encoder(vocabulary).encode, 4 * capacity
-        for batch in batches:
+        for batch in slices(batches):
             cols: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = encode(t or "") + b"\0\0\0\0"
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, vocabulary: str, text: str = "text", capacity: int =
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    slim = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return slim.mapInArrow(run, PIECE_SCHEMA)
 
 

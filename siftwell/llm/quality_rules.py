@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm.common import slices, texts
+
 SYMBOLS = "#*$%&|<>"
 CLOSERS = ".!?…:;\"'”’»)]"
 #: Fixed phrases, matched in ASCII lower case.
@@ -135,10 +137,10 @@ STATS = (
 def apply_rules(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), with_text: bool = True, rules: LineRules = LineRules()) -> DataFrame:
     """``carry`` columns of every row, its statistics and verdict, and (``with_text``) the cleaned text."""
     stats = STATS if with_text else STATS[:-1]
-    slim = docs.select(*[F.col(c) for c in carry], F.col(text).cast("string").alias("__text"))
+    slim = texts(docs).select(*[F.col(c) for c in carry], F.col(text).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [judge(t, rules)[: len(stats)] for t in batch.column(len(carry)).to_pylist()]
             cols = list(zip(*rows)) if rows else [()] * len(stats)
             yield pa.RecordBatch.from_arrays(

@@ -20,7 +20,7 @@ _ODD = re.compile("[^\t\n\r\x20-\x7e\xa0-įı-ɏ‐-‧‰-⁞€]")
 class WordEncoder:
     """``encode(text)``: the ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most_words: int = 800_000):
+    def __init__(self, path: str, most_words: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import crc_fold
+from siftwell.llm.common import crc_fold, slices, texts
 from siftwell.llm.sampling import labelled_sample, platt
 
 DECAY = 0.5
@@ -346,7 +346,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int =
     sample, counts = labelled_sample(docs, labels, "toxic", modulus, held_out, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             bags = [sorted(set().union(*map(segments, sentences(t)))) if t else [] for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([" ".join(b) for b in bags], pa.string())], names=["doc_id", "y", "bag"])
 
@@ -360,11 +360,11 @@ def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.3) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
-        for batch in batches:
+        for batch in slices(batches):
             s = model.scores(batch.column(1).to_pylist(), cache)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id bigint, score double, predicted int")
 
 
