@@ -36,6 +36,7 @@ from siftwell.llm.common import materialize
 
 SCALE = 256
 LEAF = 96
+QUERY_LEAF = 24
 SHRINK = 1.5
 LOWEST = -(2**62)
 
@@ -90,11 +91,12 @@ def build(x: np.ndarray, idx: np.ndarray, centre: int | None = None, leaf: int =
         return Node(x, x[centre], radius, idx, [])
     small: list[np.ndarray] = []
     for pivot, own in net:
-        if len(own) >= leaf // 4 and len(own) < len(idx):
+        tight = len(own) > 2 and float(((x[own] - x[pivot]) ** 2).sum(axis=1).max()) < (radius / 4) ** 2
+        if (tight or len(own) >= leaf // 4) and len(own) < len(idx):
             children.append(build(x, own, pivot, leaf))
         else:
             small.append(own)
-    if small:  # points that cover next to nothing share leaves
+    if small:  # points that cover next to nothing, and loose handfuls, share leaves
         rest = np.concatenate(small)
         if len(rest) == len(idx):
             return Node(x, x[centre], radius, idx, [])
@@ -111,7 +113,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, point
     ids = np.full((len(queries), k), np.iinfo(np.int64).max, np.int64)
     if not len(queries) or not len(points):
         return scores, ids
-    qt, pt = build(queries, np.arange(len(queries))), build(points, np.arange(len(points)))
+    qt, pt = build(queries, np.arange(len(queries)), leaf=QUERY_LEAF), build(points, np.arange(len(points)))
     slack = 1e-6
 
     stack = [(most(qt, pt), qt, pt)]
