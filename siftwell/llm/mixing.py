@@ -103,7 +103,7 @@ def plan(docs: DataFrame, max_repetition: float | None = MAX_REPETITION, target_
         .withColumn("target", F.greatest(F.round(F.col("weight") * F.col("__budget"), 3).cast("bigint"), F.lit(1)))
         .withColumn("blocks", F.greatest(F.ceil(F.round(F.col("__budget"), 3) / block_tokens), F.lit(1)).cast("bigint"))
         .withColumn("epochs", F.ceil(F.col("target") / F.col("tokens")).cast("int"))
-        .withColumn("ranges", F.greatest(F.ceil(F.col("__most") / 20_000), F.lit(16)).cast("bigint"))
+        .withColumn("ranges", F.greatest(F.ceil(F.col("__most") / 4_000), F.lit(256)).cast("bigint"))
         .select("source", F.col("tokens").alias("source_tokens"), "weight", "target", "blocks", "epochs", "ranges")
     )
     budgets, _ = materialize(budgets, "budgets")
