@@ -69,7 +69,7 @@ def similarities(queries: DataFrame, vectors: DataFrame, keys: list[str]) -> Dat
     n = max(1, queries.count() // BLOCK)
     parts = max(1, rows.count() // (4 * BLOCK))
     left = queries.select("query_id", F.col("emb").alias("emb"), F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("b"))
-    right = rows.select("*", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint").alias("g"))
+    right = rows.select("*", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("g"))
 
     def pair(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):

@@ -136,7 +136,7 @@ def test_block_join_equals_broadcast(spark, monkeypatch):
 def test_logistic_reaches_the_optimum(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 2))
-    y = (x[:, 0] - 0.5 * x[:, 1] + rng.normal(size=400) > 1).astype(int)
+    y = (x[:, 0] - 0.5 * x[:, 1] + 0.3 * rng.normal(size=400) > 1).astype(int)
     rows = df(spark, [(i, 0, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y))], "query_id bigint, article_id bigint, a double, b double, label int")
     head = ltr.fit_logistic(rows, ("a", "b"))
     z = np.c_[(x - x.mean(0)) / x.std(0), np.ones(400)]
