@@ -45,11 +45,11 @@ def pieces(docs: DataFrame, vocabulary: str, text: str = "text", capacity: int =
     """The pieces of every row: doc_id, piece, start, length and the crc32 of the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, step = encoder(vocabulary).encode, 4 * capacity
+        encode, step = encoder(vocabulary).encode_many, 4 * capacity
         for batch in slices(batches):
             cols: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = encode(t or "") + b"\0\0\0\0"
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()])):
+                raw = ids + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(raw), step)):
                     part = raw[at : at + step]
                     for c, v in zip(cols, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))):
