@@ -142,3 +142,35 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
 
     left, right = ranked(a).select(F.col("v").alias(a), F.col("r").alias("ra")), ranked(b).select(F.col("v").alias(b), F.col("r").alias("rb"))
     return rows.join(left, a).join(right, b).agg(F.round(F.corr("ra", "rb"), 6).alias("rho"))
+
+
+def frequency_bins(per_query: DataFrame, labels: DataFrame, folds: DataFrame) -> DataFrame:
+    """(bin, n, map): queries by how often their best known article is labelled in other folds: 0, 1, 2-3, 4+."""
+    lab = labels.select("query_id", "article_id").distinct().join(folds.where("fold is not null").select("query_id", "fold"), "query_id")
+    total = lab.groupBy("article_id").agg(F.count("*").alias("total"))
+    own = lab.groupBy("article_id", "fold").agg(F.count("*").alias("own"))
+    seen = lab.join(total, "article_id").join(own, ["article_id", "fold"]).groupBy("query_id").agg(F.max(F.col("total") - F.col("own")).alias("f"))
+    kind = F.when(F.col("f") == 0, "0").when(F.col("f") == 1, "1").when(F.col("f") <= 3, "2-3").otherwise("4+")
+    return per_query.join(seen, "query_id").groupBy(kind.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("ap"), 6).alias("map"))
+
+
+def bin_intervals(per_query: DataFrame, bins: DataFrame, value: str = "ap", resamples: int = 2000, level: float = 0.95, seed: int = 42) -> dict[str, tuple[float, float]]:
+    """Bootstrap interval of the mean in each bin of (query_id, bin)."""
+    from siftwell.operators import stats
+
+    joined = per_query.join(bins.select("query_id", "bin"), "query_id")
+    names = [r.bin for r in joined.select("bin").distinct().orderBy("bin").collect()]
+    return {b: stats.bootstrap_ci(stats.values(joined.where(F.col("bin") == b), value)[:, 0], resamples, level, seed) for b in names}
+
+
+def disc_radius(hops: str = "hops") -> Column:
+    """Radius of a node in a disc layout by its distance from the root."""
+    return F.tanh(0.55 * F.col(hops))
+
+
+def summary_text(name: str, row, k: int = 10) -> str:
+    """One line of a report from a summary row (map, optional low, high, recalls)."""
+    d = row.asDict()
+    ci = f" [{d['low']:.3f}, {d['high']:.3f}]" if d.get("low") is not None else ""
+    recalls = "".join(f" R@{c.removeprefix('recall_')} {v:.3f}" for c, v in d.items() if c.startswith("recall_"))
+    return f"{name}: MAP@{k} {d['map']:.3f}{ci}{recalls} (n={d['n_queries']})"

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import perturb
 from siftwell.functions import text as T
 from siftwell.functions.html import html_to_text
-from siftwell.operators import answers, contracts, corpus, dense, diagnostics, fusion, graph, lexical, ltr, metrics, rank, rerank, splits, stats
+from siftwell.operators import answers, contracts, corpus, dense, diagnostics, fusion, graph, lexical, ltr, metrics, rank, rerank, splits, stats, tuning
 from siftwell.plans import sqltext as S
 from siftwell.sources import sinks, tables
 
@@ -321,6 +321,10 @@ query(
     "fold_metrics",
     S.sql("SELECT fold, count(*) AS n, round(avg(f.ap), 6) AS map, sum((f.first_rank > 10)::INTEGER)::BIGINT AS misses, round(avg(f.ap - b.ap), 6) AS delta FROM pq_f f JOIN pq b USING (query_id) JOIN splits USING (query_id) WHERE fold IS NOT NULL GROUP BY fold", "pq", "pq_f", "splits"),
 )(lambda x: diagnostics.fold_metrics(x.per_query_fused, x.splits, x.per_query))
+query(
+    "frequency_bins",
+    S.sql("SELECT CASE WHEN f = 0 THEN '0' WHEN f = 1 THEN '1' WHEN f <= 3 THEN '2-3' ELSE '4+' END AS bin, count(*) AS n, round(avg(ap), 6) AS map FROM pq JOIN (SELECT query_id, max(f) AS f FROM (SELECT query_id, count(*) OVER (PARTITION BY article_id) - count(*) OVER (PARTITION BY article_id, fold) AS f FROM labels_t JOIN splits USING (query_id) WHERE fold IS NOT NULL) GROUP BY query_id) USING (query_id) GROUP BY bin", "pq", "labels_t", "splits"),
+)(lambda x: diagnostics.frequency_bins(x.per_query, x.labels, x.splits))
 query("hit_by_rank", S.sql("SELECT gt_type, rank, count(*) AS n, round(avg((l.article_id IS NOT NULL)::INTEGER::DOUBLE), 6) AS hit_rate FROM bm25_top b JOIN (SELECT query_id, CASE WHEN count(*) = 1 THEN 'single' ELSE 'multi' END AS gt_type FROM labels_t GROUP BY query_id) USING (query_id) LEFT JOIN labels_t l ON l.query_id = b.query_id AND l.article_id = b.article_id GROUP BY ALL", "bm25_top", "labels_t"))(
     lambda x: diagnostics.hit_by_rank(rank.top_k(x.bm25, 10), x.labels)
 )
@@ -393,9 +397,7 @@ query("variants_typo")(lambda x: perturb.variants(x.queries, perturb.RANDOM, _LA
 
 def _variant_scores(x: Lab) -> DataFrame:
     """Fixed candidates and passages, re-scored for every static variant (one key holds query and variant)."""
-    v = perturb.variants(x.queries, perturb.STATIC)
-    pairs = x.passages.join(v, "query_id")
-    return rerank.score_pairs(pairs).groupBy("query_id", "variant", "article_id").agg(F.max("score").alias("score"))
+    return tuning.score_variants(perturb.variants(x.queries, perturb.STATIC), x.candidates, x.passages)
 
 
 _vscored = f"SELECT query_id, variant, article_id, max(CASE WHEN len(qs) > 0 THEN len(list_intersect(qs, ps)) / len(qs)::DOUBLE ELSE 0 END) AS score FROM (SELECT query_id, variant, article_id, {S.word_set('query_text')} AS qs, {S.word_set('text')} AS ps FROM cand JOIN chunk_t USING (article_id) JOIN vars USING (query_id)) GROUP BY ALL"
@@ -446,3 +448,10 @@ def permutation(x: Lab) -> DataFrame:
     both = x.per_query.select("query_id", "ap").join(x.per_query_fused.select("query_id", F.col("ap").alias("ap_fused")), "query_id")
     v = stats.values(both, "ap", "ap_fused")
     return x.spark.createDataFrame([(stats.permutation_p(v[:, 0], v[:, 1]),)], "p double")
+
+
+@query("fold_model_scores")
+def fold_model_scores(x: Lab) -> DataFrame:
+    """Every fold's fitted re-ranker on every candidate, not averaged."""
+    scores, _ = tuning.fold_scores(x.candidates, x.passages.where("chunk_id = 0"), x.queries, x.labels, x.splits, n_negatives=5)
+    return r6(scores)

@@ -148,11 +148,14 @@ class Run:
 
         return self.stage("rerank", ("data", "preprocess", "folds", "retrievers", "fusion", "reranker", "evaluation"), ("fusion", "corpus"), {"scores_rerank": scored})
 
-    def features(self, train: DataFrame) -> tuple[DataFrame, list[str]]:
+    def fold_names(self) -> list[int]:
+        return [r.fold for r in self.dev().select("fold").distinct().orderBy("fold").collect()]
+
+    def features(self, train: DataFrame, graph_on: bool | None = None) -> tuple[DataFrame, list[str]]:
         """Candidate features; with graph features, by the labels of the ``train`` queries."""
         rows = rerank.blend_features(rank.top_k(self.read("scores_fusion"), self.config["reranker"]["candidates"]).drop("rank"), self.read("scores_rerank"))
         g = self.config["ranking"]["graph"]
-        if g["enabled"]:
+        if g["enabled"] if graph_on is None else graph_on:
             lab = self.labels.join(train.select("query_id"), "query_id", "left_semi")
             vec = dense.article_vectors(dense.encode(self.read("chunks"), "text").select("article_id", "chunk_id", "emb"))
             more = graph.graph_features(self.read("scores_rerank"), lab, graph.link_edges(self.articles), vec, g["top_m"], g["conditional"], g["interaction"])
@@ -162,26 +165,54 @@ class Run:
     def blend(self) -> bool:
         s = self.config["ranking"]
 
-        def blended() -> DataFrame:
+        def manual() -> DataFrame:
             cand, re = rank.top_k(self.read("scores_fusion"), self.config["reranker"]["candidates"]).drop("rank"), self.read("scores_rerank")
-            if s["method"] == "blend":
-                grid = rerank.blend_search(cand, re, self.labels, self.dev(), s["grid"], self.config["evaluation"]["k"])
-                best = grid.orderBy(F.desc("map"), "wid").first()
-                return rerank.manual_blend(cand, re, best.weight if best else 0.5)
-            if s["method"] != "lr":
-                raise C.ConfigError(f"unknown ranking {s['method']}")
-            done, folds = None, [r.fold for r in self.dev().select("fold").distinct().orderBy("fold").collect()]
-            for f in folds:  # one head and one label graph a fold
-                train = self.dev().where(F.col("fold") != f)
-                rows, cols = self.features(train)
+            parts, chosen = None, lambda dev: rerank.blend_search(cand, re, self.labels, dev, s["grid"], self.config["evaluation"]["k"]).orderBy(F.desc("map"), "wid").first()
+            for f in self.fold_names():
+                best = chosen(self.dev().where(F.col("fold") != f))
+                mine = self.dev().where(F.col("fold") == f).select("query_id")
+                part = rerank.manual_blend(cand, re, best.weight if best else 0.5).join(mine, "query_id", "left_semi")
+                parts = part if parts is None else parts.unionByName(part)
+            best = chosen(self.dev())
+            rest = rerank.manual_blend(cand, re, best.weight if best else 0.5)
+            return rest if parts is None else fusion.replace_out_of_fold(rest, parts, self.dev())
+
+        def learned(kind: str, graph_on: bool) -> DataFrame:
+            """Fold rows by heads (and label graphs) of the other folds, all others by one of all dev queries."""
+
+            def scored(train: DataFrame, target: DataFrame | None) -> DataFrame:
+                rows, cols = self.features(train, graph_on)
                 lab = fusion.label_features(rows.join(train.select("query_id"), "query_id", "left_semi"), self.labels)
-                mine = rows.join(self.dev().where(F.col("fold") == f).select("query_id"), "query_id", "left_semi")
-                part = ltr.predict_blend(mine, ltr.fit_logistic(lab, cols, l2=s["l2"]))
-                done = part if done is None else done.unionByName(part)
-            rows, cols = self.features(self.dev())
-            lab = fusion.label_features(rows.join(self.dev().select("query_id"), "query_id", "left_semi"), self.labels)
-            rest = ltr.predict_blend(rows, ltr.fit_logistic(lab, cols, l2=s["l2"]))
-            return rest if done is None else fusion.replace_out_of_fold(rest, done, self.dev())
+                mine = rows if target is None else rows.join(target.select("query_id"), "query_id", "left_semi")
+                if kind == "lr":
+                    return ltr.predict_blend(mine, ltr.fit_logistic(lab, cols, l2=s["l2"]))
+                m = s["mlp"]
+                t = lab.orderBy("query_id", "article_id").toPandas()  # candidates of labelled queries
+                net = ltr.ListwiseNetwork(m["hidden"], m["epochs"], m["rate"], m["decay"], self.config["seed"]).fit(t[cols].to_numpy(float), t["label"].to_numpy(), t["query_id"].to_numpy())
+                return mine.mapInPandas(lambda it: (b[["query_id", "article_id"]].assign(score=1 + net.predict(b[cols].to_numpy(float))) for b in it if len(b)), "query_id bigint, article_id bigint, score double")
+
+            parts = None
+            for f in self.fold_names():
+                part = scored(self.dev().where(F.col("fold") != f), self.dev().where(F.col("fold") == f))
+                parts = part if parts is None else parts.unionByName(part)
+            rest = scored(self.dev(), None)
+            return rest if parts is None else fusion.replace_out_of_fold(rest, parts, self.dev())
+
+        def blended() -> DataFrame:
+            g = s["graph"]["enabled"]
+            ways = {"blend": manual, "lr": lambda: learned("lr", g), "mlp": lambda: learned("mlp", g)}
+            if s["method"] in ways:
+                return ways[s["method"]]()
+            if s["method"] != "auto":
+                raise C.ConfigError(f"unknown ranking {s['method']}")
+            # The variant of the best out-of-fold MAP; the first of equal ones.
+            k, best = self.config["evaluation"]["k"], (-1.0, None)
+            for name, make in ways.items():
+                made = make().persist()
+                value = metrics.per_query(rank.top_k(made, k), self.labels, self.dev(), k).agg(F.avg("ap")).first()[0] or 0.0
+                if value > best[0]:
+                    best = (value, made)
+            return best[1]
 
         return self.stage("blend", ("data", "preprocess", "folds", "retrievers", "fusion", "reranker", "ranking", "evaluation"), ("rerank", "fusion", "folds"), {"scores_blend": blended})
 

@@ -51,6 +51,13 @@ def test_sweep_prunes(spark, mini, tmp_path):
     assert table.count() == 2 and len(list((tmp_path / "s").iterdir())) == 1
 
 
+@pytest.mark.parametrize("extra", [["ranking.method=lr", "ranking.graph.enabled=true"], ["ranking.method=auto", "ranking.mlp.epochs=20"]])
+def test_learned_rankings(spark, mini, tmp_path, extra):
+    over = [o for o in OVERRIDES if not o.startswith("ranking.method")] + ["retrievers.char.enabled=false", "retrievers.dense.enabled=true", "fusion.method=rrf", *extra]
+    run = Run(spark, str(tmp_path / "r"), *mini, C.load(overrides=over))
+    assert run.all().first().min_ids >= 1 and run.read("scores_blend").agg({"score": "min"}).first()[0] >= 1
+
+
 def test_config_layers(tmp_path):
     f = tmp_path / "x.yaml"
     f.write_text("retrievers:\n  bm25:\n    k1: 2.0\n")
