@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,6 +32,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: what a lambda captures is computed for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def collapse_blanks(text: Column | str) -> Column:
     """Runs of white space, no-break spaces included, become one blank; trimmed; null stays null."""
     return F.trim(F.regexp_replace(F.regexp_replace(_col(text), " ", " "), BLANKS, " "))
@@ -104,9 +109,13 @@ def check_window(size: int, overlap: int) -> None:
 def word_windows(words: Column, size: int = 400, overlap: int = 100, most: int | None = 40) -> Column:
     """array<array<string>>: the windows of a word array."""
     check_window(size, overlap)
-    n = chunk_count(F.size(words), size, overlap, most)
-    steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(steps, lambda i: F.slice(words, i * (size - overlap) + 1, size))
+
+    def cut(w: Column) -> Column:
+        n = chunk_count(F.size(w), size, overlap, most)
+        steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(steps, lambda i: F.slice(w, i * (size - overlap) + 1, size))
+
+    return bind(words, cut)
 
 
 def chunks(body: Column | str, title: Column | str | None = None, size: int = 400, overlap: int = 100, most: int | None = 40, prefix: bool = True) -> Column:
@@ -114,7 +123,7 @@ def chunks(body: Column | str, title: Column | str | None = None, size: int = 40
     head = F.trim(F.coalesce(_col(title), F.lit(""))) if title is not None else F.lit("")
     lead = F.when((head != "") & F.lit(prefix), F.concat(head, F.lit(". "))).otherwise("")
     made = F.transform(word_windows(blank_words(body), size, overlap, most), lambda w: F.concat(lead, F.array_join(w, " ")))
-    return F.when(F.size(made) > 0, made).when(head != "", F.array(head)).otherwise(F.array().cast("array<string>"))
+    return bind(made, lambda m: F.when(F.size(m) > 0, m).when(head != "", F.array(head)).otherwise(F.array().cast("array<string>")))
 
 
 def word_ngrams(word: Column, low: int = 3, high: int = 5) -> Column:
@@ -141,9 +150,14 @@ def length_bin(n_words: Column) -> Column:
 def hashing_embedding(text: Column | str, dim: int = 64) -> Column:
     """array<double>[dim]: L2-normalised counts of words by crc32 mod dim (seed 0); zero without words."""
     slots = F.transform(raw_tokens(text), lambda w: (F.crc32(w.cast("binary")) % dim).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    counts = bind(slots, lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(own, lambda s: s == i)).cast("double")))
+    return unit(counts)
+
+
+def unit(vector: Column) -> Column:
+    """array<double> of length 1; zero stays zero."""
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return bind(vector, lambda v: bind(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))))
 
 
 def dot(a: Column, b: Column) -> Column:

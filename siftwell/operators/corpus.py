@@ -34,7 +34,7 @@ def chunk_table(articles: DataFrame, size: int = 400, overlap: int = 100, most:
     title or a blank."""
     made = T.chunks("clean_text", "title", size, overlap, most, prefix)
     if at_least_one:
-        made = F.when(F.size(made) > 0, made).otherwise(F.array(F.lit(" ")))
+        made = T.bind(made, lambda m: F.when(F.size(m) > 0, m).otherwise(F.array(F.lit(" "))))
     return articles.select("article_id", F.posexplode(made).alias("chunk_id", "text"))
 
 
@@ -60,11 +60,9 @@ def containment_labels(documents: DataFrame, passages: DataFrame, width: int = 3
     long = named.where(F.size("w") >= width + 2).select("query_id", "passage", key.alias("key"))
     short = named.where(F.size("w") < width + 2).select("query_id", "passage")
     doc = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("article_id"), "text")
-    n = F.size("dw") - width
-    # The hash keys of a document first; its text comes along only for rows that match.
-    keyed = doc.withColumn("dw", words).select(
-        "article_id", "text", F.explode(F.array_distinct(F.when(n >= 0, F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.xxhash64(F.array_join(F.slice("dw", i, width), " ")))).otherwise(F.array().cast("array<bigint>")))).alias("key")
-    )
+    # The hash keys of a document's shingles; its text goes on only in rows that match.
+    shingle = lambda w: F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, width), " ")))).otherwise(F.array().cast("array<bigint>"))
+    keyed = doc.select("article_id", "text", F.explode(F.array_distinct(T.bind(words, shingle))).alias("key"))
     side = F.broadcast(long) if long.limit(broadcast_rows + 1).count() <= broadcast_rows else long
     hits = keyed.join(side, "key").where(F.contains("text", "passage")).select("query_id", "article_id")
     if not short.isEmpty():

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
@@ -31,12 +31,6 @@ def encode(texts: DataFrame, text: str, out: str = "emb", encoder: Callable[[pd.
     return texts.withColumn(out, run(joined))
 
 
-def normalise(v: Column) -> Column:
-    """Unit length; zero stays zero."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
-
-
 def similarities(queries: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFrame:
     """(query_id, keys..., sim): inner products of all queries (query_id, emb) with all rows (keys, emb).
 
@@ -104,4 +98,4 @@ def article_vectors(chunks: DataFrame, titles: DataFrame | None = None) -> DataF
         head = titles.select("article_id", F.posexplode("emb").alias("i", "t"))
         parts = parts.join(head, ["article_id", "i"], "left").select("article_id", "i", (F.col("x") + F.coalesce(F.col("t").cast("double"), F.lit(0.0))).alias("x"))
     vec = parts.groupBy("article_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
-    return vec.select("article_id", normalise(F.col("v")).alias("vec"))
+    return vec.select("article_id", T.unit(F.col("v")).alias("vec"))

@@ -34,9 +34,11 @@ def fit_logistic(rows: DataFrame, names: Sequence[str], label: str = "label", l2
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
+    rows = rows.select(label, *names).persist()  # the fit passes over them many times
     stats = rows.agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("pos"), *[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
     n, pos = stats["n"], stats["pos"] or 0.0
     if not n or pos in (0, n):
+        rows.unpersist()
         raise ValueError("both classes are needed")
     mean = tuple(float(stats[f"m_{c}"]) for c in names)
     scale = tuple(float(stats[f"s_{c}"]) or 1.0 for c in names)
@@ -44,6 +46,7 @@ def fit_logistic(rows: DataFrame, names: Sequence[str], label: str = "label", l2
     scaled = rows.select(F.col(label).cast("double").alias("label"), weight.alias("__c"), *[((F.col(c) - m) / s).alias(c) for c, m, s in zip(names, mean, scale)])
     table = VectorAssembler(inputCols=list(names), outputCol="__x").transform(scaled)
     model = LogisticRegression(featuresCol="__x", labelCol="label", weightCol="__c", regParam=l2 / n, elasticNetParam=0.0, standardization=False, maxIter=rounds, tol=1e-9).fit(table)
+    rows.unpersist()
     return Logistic(tuple(names), tuple(float(v) for v in model.coefficients), float(model.intercept), mean, scale)
 
 

@@ -52,14 +52,17 @@ def synthetic_groups(synthetic: DataFrame, articles: DataFrame, candidates: Data
 def fold_scores(candidates: DataFrame, passages: DataFrame, queries: DataFrame, labels: DataFrame, folds: DataFrame, n_negatives: int = 7, l2: float = 1.0) -> tuple[DataFrame, dict[int, ltr.Logistic]]:
     """(fold, query_id, article_id, score) of every model on every query - not averaged - and the models.
     Fold f's model never sees the labels of fold f; its rows on fold f are the out-of-fold ones."""
-    heads, done = {}, None
-    groups = rerank.training_groups(candidates, labels, passages, n_negatives)
+    heads: dict[int, ltr.Logistic] = {}
+    rows = group_rows(rerank.training_groups(candidates, labels, passages, n_negatives), passages, queries).persist()
     for f in sorted(r.fold for r in folds.where("fold is not null").select("fold").distinct().collect()):
-        train = groups.join(folds.where((F.col("fold") != f)).select("query_id"), "query_id", "left_semi")
-        heads[f] = fine_tune(train, passages, queries, l2)
-        part = tuned_scores(candidates, passages, queries, heads[f]).select(F.lit(f).alias("fold"), "query_id", "article_id", "score")
-        done = part if done is None else done.unionByName(part)
-    return done, heads
+        train = rows.join(folds.where(F.col("fold") != f).select("query_id"), "query_id", "left_semi")
+        heads[f] = ltr.fit_logistic(train, PAIR_FEATURES, l2=l2)
+    rows.unpersist()
+    pairs = candidates.select("query_id", "article_id").join(passages, ["query_id", "article_id"]).join(queries.select("query_id", "query_text"), "query_id")
+    # All models read the same features in one pass.
+    every = F.array(*[F.struct(F.lit(f).alias("fold"), h.probability().alias("score")) for f, h in heads.items()])
+    scored = pair_features(pairs).select("query_id", "article_id", F.explode(every).alias("m"))
+    return scored.groupBy(F.col("m.fold").alias("fold"), "query_id", "article_id").agg(F.max("m.score").alias("score")), heads
 
 
 def own_fold(scores: DataFrame, folds: DataFrame) -> DataFrame:
