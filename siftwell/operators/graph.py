@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
@@ -75,16 +77,19 @@ def graph_features(reranked: DataFrame, labels: DataFrame, links: DataFrame, vec
     return out.select("query_id", "article_id", *cols)
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """The cluster's ``spark.checkpoint.dir`` counts; a temporary folder only where none is set, as in tests."""
+    if not spark.sparkContext.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="siftwell-"))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): least node of each component of (src, dst), by label spreading with short-cuts.
 
     Each round takes the least label among neighbours and then the label's own label, so a chain of n nodes
     takes about log(n) rounds; lineage is cut by a checkpoint every round."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siftwell-"))
+    ensure_checkpoints(edges.sparkSession)
     both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct().checkpoint()
     labels = both.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("root")).checkpoint()
     for _ in range(most_rounds):
@@ -101,6 +106,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def distances(edges: DataFrame, roots: DataFrame, most_hops: int = 30) -> DataFrame:
     """(node, hops): breadth-first distance from ``roots`` (node) over directed edges (src, dst)."""
+    ensure_checkpoints(edges.sparkSession)
     seen = roots.select("node", F.lit(0).alias("hops")).distinct()
     front = seen
     for hop in range(1, most_hops + 1):
