@@ -49,11 +49,13 @@ def synthetic_groups(synthetic: DataFrame, articles: DataFrame, candidates: Data
     return rerank.training_groups(candidates, labels, passages, n)
 
 
-def fold_scores(candidates: DataFrame, passages: DataFrame, queries: DataFrame, labels: DataFrame, folds: DataFrame, n_negatives: int = 7, l2: float = 1.0) -> tuple[DataFrame, dict[int, ltr.Logistic]]:
+def fold_scores(candidates: DataFrame, passages: DataFrame, queries: DataFrame, labels: DataFrame, folds: DataFrame, n_negatives: int = 7, l2: float = 1.0, training: DataFrame | None = None) -> tuple[DataFrame, dict[int, ltr.Logistic]]:
     """(fold, query_id, article_id, score) of every model on every query - not averaged - and the models.
-    Fold f's model never sees the labels of fold f; its rows on fold f are the out-of-fold ones."""
+    Fold f's model never sees the labels of fold f; its rows on fold f are the out-of-fold ones.
+    A candidate's score is that of its best passage; ``training`` gives the passages to fit on, where those are others."""
+    fitted = passages if training is None else training
     heads: dict[int, ltr.Logistic] = {}
-    rows = group_rows(rerank.training_groups(candidates, labels, passages, n_negatives), passages, queries).persist()
+    rows = group_rows(rerank.training_groups(candidates, labels, fitted, n_negatives), fitted, queries).persist()
     for f in sorted(r.fold for r in folds.where("fold is not null").select("fold").distinct().collect()):
         train = rows.join(folds.where(F.col("fold") != f).select("query_id"), "query_id", "left_semi")
         heads[f] = ltr.fit_logistic(train, PAIR_FEATURES, l2=l2)

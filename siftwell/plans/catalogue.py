@@ -80,6 +80,11 @@ class Lab:
     def passages(self) -> DataFrame:
         return self.candidates.select("query_id", "article_id").join(self.chunks, "article_id").select("query_id", "article_id", "chunk_id", F.col("text").alias("passage"))
 
+    @cached_property
+    def best(self) -> DataFrame:
+        """Each candidate's best chunk for the query, of all its chunks."""
+        return rerank.best_passages(self.candidates, self.chunks, self.queries)
+
     @cached_property
     def reranked(self) -> DataFrame:
         return rerank.rerank(self.candidates, self.passages, self.queries)
@@ -231,7 +236,7 @@ query("rerank_multichunk", S.sql("SELECT query_id, article_id, round(score, 6) A
 query(
     "rerank_lexical",
     S.sql("SELECT query_id, article_id, round(max(s), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, article_id ORDER BY chunk_id) AS r FROM pair_chunks) WHERE r = 1 GROUP BY ALL", "pair_chunks"),
-)(lambda x: r6(rerank.rerank(x.candidates, x.passages.where("chunk_id = 0"), x.queries)))
+)(lambda x: r6(rerank.rerank(x.candidates, x.best, x.queries)))
 query("blend_features", S.sql("SELECT query_id, article_id, round(fusion_norm, 6) AS fusion_norm, round(fusion_rr, 6) AS fusion_rr, round(rerank_norm, 6) AS rerank_norm, round(rerank_rr, 6) AS rerank_rr FROM blend_f", "blend_f"))(
     lambda x: r6(rerank.blend_features(x.candidates.drop("rank"), x.reranked), "fusion_norm", "fusion_rr", "rerank_norm", "rerank_rr")
 )
@@ -452,6 +457,6 @@ def permutation(x: Lab) -> DataFrame:
 
 @query("fold_model_scores")
 def fold_model_scores(x: Lab) -> DataFrame:
-    """Every fold's fitted re-ranker on every candidate, not averaged."""
-    scores, _ = tuning.fold_scores(x.candidates, x.passages.where("chunk_id = 0"), x.queries, x.labels, x.splits, n_negatives=5)
+    """Every fold's fitted re-ranker on every candidate, not averaged: fitted on best chunks, all chunks scored."""
+    scores, _ = tuning.fold_scores(x.candidates, x.passages, x.queries, x.labels, x.splits, n_negatives=5, training=x.best)
     return r6(scores)
