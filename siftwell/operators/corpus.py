@@ -30,8 +30,8 @@ def from_documents(documents: DataFrame) -> DataFrame:
 
 
 def chunk_table(articles: DataFrame, size: int = 400, overlap: int = 100, most: int | None = 40, prefix: bool = True, at_least_one: bool = True) -> DataFrame:
-    """(article_id, chunk_id, text). ``at_least_one``: an article without words still has one chunk, its
-    title or a blank."""
+    """(article_id, chunk_id, text). ``most`` chunks an article at most: words after them are in none; None
+    keeps whole texts. ``at_least_one``: an article without words still has one chunk, its title or a blank."""
     made = T.chunks("clean_text", "title", size, overlap, most, prefix)
     if at_least_one:
         made = T.bind(made, lambda m: F.when(F.size(m) > 0, m).otherwise(F.array(F.lit(" "))))

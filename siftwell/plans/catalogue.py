@@ -74,7 +74,7 @@ class Lab:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return corpus.chunk_table(self.corpus)
+        return corpus.chunk_table(self.corpus, most=None)
 
     @cached_property
     def passages(self) -> DataFrame:

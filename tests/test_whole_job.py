@@ -46,3 +46,11 @@ def test_fold_models_see_matches_beyond_the_first_chunk(spark, lab, monkeypatch)
     own = [r.score for r in rows if r.query_id == r.article_id]
     assert min(own) > max(r.score for r in rows if r.query_id != r.article_id)
     assert {(r.label, r.overlap) for r in fitted[0].collect()} == {(1, 1.0), (0, 0.0)}
+
+
+def test_chunks_cover_whole_texts(spark, lab):
+    lab([(0, f"{filler(12_999)} last"), (1, "short")], [(0, "last")])
+    texts = sorted((r.article_id, r.chunk_id, r.text.split()[-1], len(r.text.split())) for r in catalogue.QUERIES["chunks"](spark, "").collect())
+    assert texts[42:] == [(0, 42, "last", 400), (1, 0, "short", 1)]
+    assert {r.article_id: r.n for r in catalogue.QUERIES["chunk_counts"](spark, "").collect()} == {0: 43, 1: 1}
+    assert {r.article_id: r.score for r in catalogue.QUERIES["rerank_multichunk"](spark, "").collect()} == {0: 1.0, 1: 0.0}
