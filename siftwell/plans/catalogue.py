@@ -19,6 +19,7 @@ from siftwell.functions import text as T
 from siftwell.functions.html import html_to_text
 from siftwell.operators import answers, contracts, corpus, dense, diagnostics, fusion, graph, lexical, ltr, metrics, rank, rerank, splits, stats, tuning
 from siftwell.plans import sqltext as S
+from siftwell.plans.config import DEFAULTS
 from siftwell.sources import sinks, tables
 
 WEIGHTS = {"bm25": 0.6, "char": 0.4}
@@ -227,7 +228,7 @@ query(
     "oof_replace",
     S.sql("SELECT query_id, article_id, round(score, 6) AS score FROM (SELECT * FROM bm25 ANTI JOIN dev USING (query_id) UNION ALL SELECT * FROM fused SEMI JOIN dev USING (query_id))", "bm25", "fused", "splits", dev="SELECT query_id FROM splits WHERE fold IS NOT NULL"),
 )(lambda x: r6(fusion.replace_out_of_fold(x.bm25, x.fused.join(x.splits.where("fold is not null").select("query_id"), "query_id", "left_semi"), x.splits.where("fold is not null"))))
-query("oof_fusion")(lambda x: r6(rank.top_k(fusion.out_of_fold_weights(x.sources, x.labels, x.splits.where("fold is not null"), n_samples=8, n_articles=x.n)[0], 10)))
+query("oof_fusion")(lambda x: r6(rank.top_k(fusion.out_of_fold_weights(x.sources, x.labels, x.splits.where("fold is not null"), n_samples=DEFAULTS["fusion"]["samples"], n_articles=x.n)[0], 10)))
 
 # ---- re-ranking ------------------------------------------------------------------------------------
 
@@ -432,7 +433,8 @@ def lr_fit(x: Lab) -> DataFrame:
 @query("mlp_fit")
 def mlp_fit(x: Lab) -> DataFrame:
     rows = _head_rows(x).orderBy("query_id", "article_id").toPandas()  # 30 candidates a labelled query
-    net = ltr.ListwiseNetwork(hidden=(16,), epochs=100).fit(rows[list(_NAMES)].to_numpy(float), rows["label"].to_numpy(), rows["query_id"].to_numpy())
+    m = DEFAULTS["ranking"]["mlp"]
+    net = ltr.ListwiseNetwork(m["hidden"], m["epochs"], m["rate"], m["decay"]).fit(rows[list(_NAMES)].to_numpy(float), rows["label"].to_numpy(), rows["query_id"].to_numpy())
     rows["score"] = np.round(net.predict(rows[list(_NAMES)].to_numpy(float)), 6)
     return x.spark.createDataFrame(rows[["query_id", "article_id", "score"]])
 
@@ -445,7 +447,7 @@ def bootstrap(x: Lab) -> DataFrame:
 
 @query("bootstrap_distributed")
 def bootstrap_distributed(x: Lab) -> DataFrame:
-    return stats.interval(stats.bootstrap_table(x.per_query, "ap"))
+    return stats.interval(stats.bootstrap_table(x.per_query, "ap", DEFAULTS["evaluation"]["resamples"]))
 
 
 @query("permutation_p")
@@ -458,5 +460,5 @@ def permutation(x: Lab) -> DataFrame:
 @query("fold_model_scores")
 def fold_model_scores(x: Lab) -> DataFrame:
     """Every fold's fitted re-ranker on every candidate, not averaged: fitted on best chunks, all chunks scored."""
-    scores, _ = tuning.fold_scores(x.candidates, x.passages, x.queries, x.labels, x.splits, n_negatives=5, training=x.best)
+    scores, _ = tuning.fold_scores(x.candidates, x.passages, x.queries, x.labels, x.splits, n_negatives=DEFAULTS["reranker"]["negatives"], training=x.best)
     return r6(scores)

@@ -1,5 +1,7 @@
 """Registered queries do the whole job: all chunks, whole texts, production settings."""
 
+import inspect
+
 import pytest
 
 from siftwell.operators import tuning
@@ -54,3 +56,34 @@ def test_chunks_cover_whole_texts(spark, lab):
     assert texts[42:] == [(0, 42, "last", 400), (1, 0, "short", 1)]
     assert {r.article_id: r.n for r in catalogue.QUERIES["chunk_counts"](spark, "").collect()} == {0: 43, 1: 1}
     assert {r.article_id: r.score for r in catalogue.QUERIES["rerank_multichunk"](spark, "").collect()} == {0: 1.0, 1: 0.0}
+
+
+def test_fits_and_resampling_take_production_settings(spark, lab, monkeypatch):
+    """Each query's operator is called with the settings of the staged run."""
+    seen = {}
+
+    def catch(where, name, *params):
+        plain = getattr(where, name)
+
+        def run(*a, **k):
+            bound = inspect.signature(plain).bind(*a, **k)
+            bound.apply_defaults()
+            seen.update({p: bound.arguments[p] for p in params})
+            raise Caught
+
+        monkeypatch.setattr(where, name, run)
+
+    class Caught(Exception):
+        pass
+
+    made = lab([(0, "alpha"), (1, "beta")], [(0, "alpha"), (1, "beta")])
+    vars(made).update(n=2, sources={}, per_query=None)
+    monkeypatch.setattr(catalogue, "_head_rows", lambda x: spark.createDataFrame([(0, 0, 1, 0.0, 0.0, 0.0, 0.0)], "query_id int, article_id int, label int, fusion_norm double, fusion_rr double, rerank_norm double, rerank_rr double"))
+    catch(catalogue.fusion, "out_of_fold_weights", "n_samples")
+    catch(catalogue.tuning, "fold_scores", "n_negatives")
+    catch(catalogue.ltr, "ListwiseNetwork", "hidden", "epochs", "rate", "decay")
+    catch(catalogue.stats, "bootstrap_table", "resamples")
+    for name in ("oof_fusion", "fold_model_scores", "mlp_fit", "bootstrap_distributed"):
+        with pytest.raises(Caught):
+            catalogue.QUERIES[name](spark, "")
+    assert seen == {"n_samples": 500, "n_negatives": 7, "hidden": [16], "epochs": 300, "rate": 0.01, "decay": 0.03, "resamples": 10_000}
