@@ -104,16 +104,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def distances(edges: DataFrame, roots: DataFrame, most_hops: int = 30) -> DataFrame:
-    """(node, hops): breadth-first distance from ``roots`` (node) over directed edges (src, dst)."""
+def distances(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, hops): breadth-first distance from ``roots`` (node) over directed edges (src, dst), however far.
+
+    One round a hop; the nodes seen are checkpointed every round, so plans stay short on long chains."""
     ensure_checkpoints(edges.sparkSession)
-    seen = roots.select("node", F.lit(0).alias("hops")).distinct()
-    front = seen
-    for hop in range(1, most_hops + 1):
-        step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(hop).alias("hops")).checkpoint()
-        if step.isEmpty():
-            break
-        seen, front = seen.unionByName(step), step
+    edges = edges.select("src", "dst").distinct().checkpoint()
+    seen = front = roots.select("node", F.lit(0).alias("hops")).distinct().checkpoint()
+    hop = 0
+    while not front.isEmpty():
+        hop += 1
+        step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct()
+        front = step.join(seen, "node", "left_anti").select("node", F.lit(hop).alias("hops")).checkpoint()
+        seen = seen.unionByName(front).coalesce(seen.sparkSession.sparkContext.defaultParallelism).checkpoint()
     return seen
 
 

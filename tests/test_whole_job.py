@@ -4,7 +4,7 @@ import inspect
 
 import pytest
 
-from siftwell.operators import tuning
+from siftwell.operators import graph, tuning
 from siftwell.plans import catalogue
 
 
@@ -87,3 +87,9 @@ def test_fits_and_resampling_take_production_settings(spark, lab, monkeypatch):
         with pytest.raises(Caught):
             catalogue.QUERIES[name](spark, "")
     assert seen == {"n_samples": 500, "n_negatives": 7, "hidden": [16], "epochs": 300, "rate": 0.01, "decay": 0.03, "resamples": 10_000}
+
+
+def test_distances_reach_the_end_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(40, 0), (7, 7)], "src bigint, dst bigint")
+    got = graph.distances(edges, spark.createDataFrame([(0,)], "node bigint")).collect()
+    assert sorted((r.node, r.hops) for r in got) == [(i, i) for i in range(41)]
