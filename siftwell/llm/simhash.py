@@ -67,16 +67,17 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long of the same bits."""
+def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, key: Column | None = None) -> DataFrame:
+    """(doc_id, fp), with ``key``, a long, (doc_id, fp, key): the fingerprint as a signed long of the same bits."""
+    names = ["doc_id", "fp"] if key is None else ["doc_id", "fp", "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], names=names)
 
-    slim = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id bigint, fp bigint")
+    slim = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), *([] if key is None else [key.alias("key")]))
+    return slim.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def bit_sums(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -259,30 +260,41 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
-def near_groups(docs: DataFrame, text: str = "text", radius: int = RADIUS, width: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id): every row with the least doc_id that its links reach."""
-    prints, _ = materialize(fingerprints(docs, text, width), "fp")
+def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, root, component_id) of the fingerprints of ``prints``: root, a fingerprint, names the group, and
+    component_id is its least doc_id (null where no row of it has one)."""
     first, _ = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     forest, _ = materialize(components(links(first.select("fp"), radius)), "forest")
     # Roots are members too; a component's id is the least doc_id of all its fingerprints.
     tied = forest.select(F.col("node").alias("fp"), "root").union(forest.select(F.col("root").alias("fp"), "root").distinct())
     known = tied.join(first, "fp")
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = known.join(ids, "root").select("fp", "component_id")
-    final, _ = materialize(first.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes")
-    return prints.join(final, "fp")
+    moved = known.join(ids, "root").select("fp", "root", "component_id")
+    final = first.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return materialize(final, "classes")[0]
+
+
+def near_groups(docs: DataFrame, text: str = "text", radius: int = RADIUS, width: int = 3) -> DataFrame:
+    """(doc_id, fp, component_id): every row with the least doc_id that its links reach."""
+    prints, _ = materialize(fingerprints(docs, text, width), "fp")
+    return prints.join(classes(prints, radius).select("fp", "component_id"), "fp")
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
-    """The pipeline's form: the document with the least id of each group stays, one row of it. Rows without
-    a doc_id stay as they are: nothing names them.
+    """The pipeline's form: one row of each group stays, the one with the least doc_id (null ones last), then
+    the least hash of the row, whatever other rows share its doc_id.
 
-    Texts are shuffled once, to meet the ids that stay (hashed, so the texts are not sorted); only ids
-    that came in several rows are grouped."""
+    Texts are shuffled once, to meet the ids and hashes that stay (hashed, so the texts are not sorted); only
+    rows that came several times are grouped."""
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
-    groups, _ = materialize(near_groups(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "keep")
-    kept = docs.select(*cols).join(groups.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    again = groups.where("n > 1").select("doc_id")
+    key = F.xxhash64(*cols, *[F.col(c).isNull() for c in cols])  # null and "" are not the same
+    prints, _ = materialize(fingerprints(docs, key=key), "fp")
+    rows = prints.groupBy("fp", "doc_id", "key").agg(F.count("*").alias("n")).join(classes(prints).select("fp", "root"), "fp")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n")).alias("least")
+    groups, _ = materialize(rows.groupBy("root").agg(least).select(F.col("least.doc_id").alias("id"), F.col("least.key").alias("own"), F.col("least.n").alias("n")), "keep")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("id")) & (F.col("key") == F.col("own"))
+    kept = docs.select(*cols, key.alias("key")).join(groups.hint("shuffle_hash"), same, "left_semi")
+    again = groups.where("n > 1")
     if not again.isEmpty():
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*cols).unionByName(docs.where(F.col("doc_id").isNull()).select(*cols))
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "key"]))
+    return kept.select(*cols)

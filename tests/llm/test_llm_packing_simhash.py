@@ -190,3 +190,13 @@ def test_whole_table_equals_brute_force(spark):
     want = classes(pairs)
     for r in S.near_groups(df).collect():
         assert r.fp & (2**64 - 1) == dict(pairs)[r.doc_id] and r.component_id == want[r.doc_id]
+
+
+def test_one_row_of_each_group_stays_under_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (3, c), (None, c), (None, "only here"), (None, "only here"), (0, a), (3, c)]
+    kept = S.dedup_documents(docs(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("0", a), ("1", b), ("3", c), ("None", "only here")])
+    # One id that is the least of two groups keeps both of its texts.
+    kept = S.dedup_documents(docs(spark, [(1, a), (1, b), (2, a), (2, b)])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (1, b)]
