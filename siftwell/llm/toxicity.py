@@ -1,29 +1,31 @@
-"""Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
-
-Kernel: words are compared by the common subsequences of three characters, gaps allowed, with a mark at the word's start as one more character; an occurrence
-that spans s characters (s <= ``SPAN``) weighs DECAY^s, and a word's feature vector is scaled to unit
-occurrence energy. An insult with an inserted or replaced character, or letters set apart by marks,
-keeps most of its subsequences, hence most of its kernel value.
-
-Units: a sentence is a bag of segments: its words, lower-cased, without marks; runs of three or more
-single characters ("i d i o t") add the joined run. A sentence scores the largest SVM value of its
-segments, a text the largest of its sentences, plus half of the next largest if that is positive.
-
-Training (multiple-instance): labels mark documents, so sentences inherit them. Witness segments of
-toxic sentences start from those whose word or stem (its first 4 to 7 characters) is significantly more
-frequent in toxic documents (likelihood ratio), and are then
-re-picked, for the toxic texts that none explains, as the segment the current machine ranks highest;
-negatives are segments of clean sentences, mined for those that score highest. Witnesses are also
-shown with one character inserted or masked, so that the margin allows for disguise. Landmarks are picked
-greedily for spread; the machine is a squared-hinge linear SVM on the Nystroem features.
-
-Because every kernel value is a dot product of explicit subsequence vectors, the fitted decision
-sum_m alpha_m K(x, landmark_m) folds into one weight a subsequence; scoring adds those up, which is the
-same function at the cost of a table look-up.
-
-Null and empty texts have no segment and get the score of the lowest value. With labels of one class or
-none, the score is the smoothed share of toxic labels. Repeated rows are scored each on its own;
-labels, lang, source and doc_id are no inputs.
+"""Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks, on sentences.
+
+Segments: a sentence (cut into windows of at most ``WINDOW`` words) is a bag of distinct segments: its
+words, lower-cased, without marks ("id.iot" is "idiot"); runs of three or more single characters
+("i d i o t") add the joined run.
+
+Kernel: k(v, w) of two segments is the cosine of their gap-weighted subsequence vectors: subsequences of
+three characters, gaps allowed, a mark at the segment's start as one more character; an occurrence that
+spans s characters (s <= ``SPAN``) weighs DECAY^s. An insult with an inserted or replaced character keeps
+most of its subsequences. Two sentences compare by the set kernel K(S, T) = sum of k(v, w)^POWER over all
+segments v of S and w of T: the power lets the near pairs count. Gaps never cross a blank, save in runs.
+
+Training: the rows are sentences; each inherits the label of its text (one found in both classes is
+clean). The sentence kernel is approximated by Nystroem landmarks, one-segment sentences: the segments of
+toxic texts whose document counts speak most against clean texts, spread out, frequent clean segments, and
+after each round those segments of clean texts (two at least) that the machine mistakes. A squared-hinge linear SVM is fitted on the Nystroem
+features. As most sentences of a toxic text are harmless, it is refitted a few times (multiple-instance
+SVM): a toxic text's best sentence, and any other of its sentences that scores above zero, stay positive,
+the rest leave. Its best sentences are also shown with their worst segment disguised (a character inserted
+or masked), so that the margin allows for disguise.
+
+Score: a sentence's value is the sum of its segments' values, which are kept in a cache; a text's is a
+logistic function, fitted on the training texts, of its three highest sentence values (between -``CLIP``
+and ``CLIP``; missing ones count -``CLIP``) and the logarithm of the number of its sentences.
+
+Null and empty texts, and those of marks only, have no segment: their value is ``LEAST``. With labels of
+one class or none, or no segment in either class, the score is the smoothed share of toxic labels.
+Repeated rows are scored each on its own; labels, lang, source and doc_id are no inputs.
 """
 
 from __future__ import annotations
@@ -40,13 +42,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import crc_fold, slices, texts
-from siftwell.llm.sampling import labelled_sample, platt
+from siftwell.llm.sampling import labelled_sample
 
 DECAY = 0.5
 SPAN = 7
+POWER = 3
+WINDOW = 40
+CLIP = 3.0
 LETTERS = 42  # 0 ends a word, 1-26 a-z, 27 digits, 28-40 other letters by code point, 41 opens a word
 OPEN = "\x01"
-N_WEIGHTS = LETTERS**3
+N_CODES = LETTERS**3
 OFFSETS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 LEAST = -4.0  # the value of a text without segments
 
@@ -55,29 +60,36 @@ _SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n")
 
 
 def segments(text: str) -> set[str]:
-    """The distinct segments of all sentences of a text."""
-    plain = _MARKS.sub("", text.lower())
-    words = plain.split()
+    """The distinct segments of a sentence."""
+    return _bag(_MARKS.sub("", text.lower()).split())
+
+
+def _bag(words: list[str]) -> set[str]:
     found = set(words)
-    run: list[str] = []
-    for w in words:
-        if len(w) == 1:
-            run.append(w)
-        elif run:
-            if len(run) > 2:
-                found.add("".join(run))
-            run = []
-    if len(run) > 2:
-        found.add("".join(run))
+    if sum(len(w) == 1 for w in words) > 2:
+        run: list[str] = []
+        for w in [*words, "  "]:
+            if len(w) == 1:
+                run.append(w)
+            else:
+                if len(run) > 2:
+                    found.add("".join(run))
+                run = []
     return found
 
 
-def sentences(text: str) -> list[str]:
-    return [s for s in _SENTENCE.split(text) if s.strip()]
+def sentence_bags(text: str | None) -> list[set[str]]:
+    """The segments of each sentence, window by window."""
+    out = []
+    for s in _SENTENCE.split(text or ""):
+        words = _MARKS.sub("", s.lower()).split()
+        for lo in range(0, len(words), WINDOW):
+            out.append(_bag(words[lo : lo + WINDOW]))
+    return out
 
 
-def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letters of all words, each followed by SPAN zeros; where words start; their lengths."""
+def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of all words, each word followed by SPAN zeros; the words' lengths with the opening mark."""
     gap = "\0" * SPAN
     points = np.frombuffer((OPEN + (gap + OPEN).join(words) + gap).encode("utf-32-le", "surrogatepass"), np.uint32)
     out = np.where(points > 0, 28 + points % 13, 0)
@@ -85,274 +97,290 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out[low] = points[low] - 96
     out[(points >= 48) & (points <= 57)] = 27
     out[points == 1] = LETTERS - 1
-    lens = np.array([len(w) + 1 for w in words])
-    starts = np.cumsum(lens + SPAN) - lens - SPAN
-    return out.astype(np.int64), starts, lens
+    return out.astype(np.int64), np.array([len(w) + 1 for w in words])
 
 
-def occurrences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """For each pair of offsets: the subsequence at every position, whether it lies in one word, its weight."""
-    c, _, _ = _codes(words)
-    n = len(c)
+def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, code, weight) of the distinct subsequences of each word; each word's weights have length 1."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    c, lens = _letters(words)
+    owner = np.repeat(np.arange(len(words)), lens + SPAN) * N_CODES
+    n, keys, weights = len(c), [], []
     for i, j in OFFSETS:
         a, b, d = c[: n - j], c[i : n - j + i], c[j:]
-        yield (a * LETTERS + b) * LETTERS + d, (a > 0) & (b > 0) & (d > 0), DECAY ** (j + 1)
-
-
-def scale(words: list[str]) -> np.ndarray:
-    """1 / norm of each word; words of one character have no subsequence."""
-    lens = np.array([len(w) + 1 for w in words])
-    energy = np.zeros(len(words))
-    for i, j in OFFSETS:
-        energy += np.maximum(lens - j, 0) * DECAY ** (2 * (j + 1))
-    return np.where(energy > 0, 1 / np.sqrt(np.maximum(energy, 1e-12)), 0)
+        at = np.flatnonzero((a > 0) & (b > 0) & (d > 0))
+        keys.append(owner[at] + (a[at] * LETTERS + b[at]) * LETTERS + d[at])
+        weights.append(np.full(len(at), DECAY ** (j + 1)))
+    key, weight = np.concatenate(keys), np.concatenate(weights)
+    order = np.argsort(key)
+    key, weight = key[order], weight[order]
+    if not len(key):
+        return key, key, weight
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    weight, key = np.add.reduceat(weight, first), key[first]
+    own = key // N_CODES
+    norm = np.sqrt(np.bincount(own, weights=weight * weight, minlength=len(words)))
+    return own, key % N_CODES, weight / norm[own]
+
+
+class Landmarks:
+    """Words with their subsequences listed by code, so that a kernel value costs the shared ones only."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        own, code, weight = subsequences(words)
+        order = np.argsort(code, kind="stable")
+        self.owner, self.weight = own[order], weight[order]
+        self.first = np.searchsorted(code[order], np.arange(N_CODES + 1))
+
+    def kernel(self, words: list[str], block: int = 4000) -> np.ndarray:
+        """k(word, landmark), words by landmarks."""
+        m = len(self.words)
+        out = np.zeros((len(words), m), np.float32)
+        for lo in range(0, len(words), block):
+            part = words[lo : lo + block]
+            own, code, weight = subsequences(part)
+            n = self.first[code + 1] - self.first[code]
+            hit = n > 0
+            own, code, weight, n = own[hit], code[hit], weight[hit], n[hit]
+            if not len(n):
+                continue
+            ends = np.cumsum(n)
+            at = np.arange(int(ends[-1])) + np.repeat(self.first[code] - (ends - n), n)
+            cell = np.repeat(own * m, n) + self.owner[at]
+            out[lo : lo + len(part)] = np.bincount(cell, weights=np.repeat(weight, n) * self.weight[at], minlength=len(part) * m).reshape(len(part), m)
+        return out
 
 
-def decision(words: list[str], weights: np.ndarray) -> np.ndarray:
-    """sum of the weights of each word's subsequences over the word's norm."""
-    if not words:
-        return np.zeros(0)
-    _, starts, _ = _codes(words)
-    total: np.ndarray | None = None
-    for code, live, w in occurrences(words):
-        part = np.where(live, weights[code], 0) * np.float32(w)
-        if total is None:
-            total = np.zeros(len(part) + 2, np.float32)
-        total[: len(part)] += part
-    return np.add.reduceat(total[: max(starts[-1] + 1, len(total))], starts) * scale(words)
-
-
-def vectors(words: list[str]) -> np.ndarray:
-    """Dense unit subsequence vectors; for landmarks only."""
-    out = np.zeros((len(words), N_WEIGHTS), np.float32)
-    _, starts, lens = _codes(words)
-    owner = np.repeat(np.arange(len(words)), lens + SPAN)
-    for code, live, w in occurrences(words):
-        at = np.flatnonzero(live)
-        np.add.at(out, (owner[at], code[at]), np.float32(w))
-    return out * scale(words)[:, None].astype(np.float32)
-
-
-def kernel(words: list[str], landmarks: np.ndarray, block: int = 400) -> np.ndarray:
-    """K(word, landmark) for landmarks given as dense vectors."""
-    table = np.ascontiguousarray(landmarks.T)
-    out = np.zeros((len(words), landmarks.shape[0]), np.float32)
-    for lo in range(0, len(words), block):
-        part = words[lo : lo + block]
-        _, starts, lens = _codes(part)
-        owner = np.repeat(np.arange(len(part)), lens + SPAN)
-        codes, owners, weights = [], [], []
-        for code, live, w in occurrences(part):
-            at = np.flatnonzero(live)
-            codes.append(code[at])
-            owners.append(owner[at])
-            weights.append(np.full(len(at), w, np.float32))
-        code, own, wt = np.concatenate(codes), np.concatenate(owners), np.concatenate(weights)
-        order = np.argsort(own, kind="stable")
-        code, own, wt = code[order], own[order], wt[order]
-        if len(own):
-            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            out[lo + own[first]] = np.add.reduceat(table[code] * wt[:, None], first, axis=0)
-        out[lo : lo + len(part)] *= scale(part)[:, None].astype(np.float32)
-    return out
+def spread(ranked: Iterable[str], most: int, nearest: float = 0.9, block: int = 200) -> list[str]:
+    """The first ``most`` words, in order, that are not as near as ``nearest`` to one picked before."""
+    picked: list[str] = []
+    ranked = iter(ranked)
+    while len(picked) < most and (part := [w for _, w in zip(range(block), ranked)]):
+        near = Landmarks(picked).kernel(part).max(axis=1) if picked else np.zeros(len(part))
+        among = Landmarks(part).kernel(part)
+        for i, w in enumerate(part):
+            if near[i] < nearest and len(picked) < most:
+                picked.append(w)
+                near = np.maximum(near, among[:, i])
+    return picked
 
 
-def text_value(values: Iterable[float]) -> float:
-    """The largest segment value, and half of the next one's if that is positive too."""
-    top = heapq.nlargest(2, values)
-    return max(top[0], LEAST) + 0.5 * max(0.0, *top[1:]) if len(top) > 1 else max([LEAST, *top])
+def text_features(values: list[float]) -> list[float]:
+    """The three highest sentence values, clipped, and log(1 + number of sentences)."""
+    top = [max(-CLIP, min(CLIP, v)) for v in heapq.nlargest(3, values)]
+    return [*top, *[-CLIP] * (3 - len(top)), float(np.log1p(len(values)))]
 
 
 @dataclass
 class ToxicModel:
-    weights: np.ndarray | None  # one a subsequence: the folded Nystroem SVM
-    bias: float
-    a: float
-    b: float
+    marks: Landmarks | None
+    weights: np.ndarray  # one a landmark: the SVM behind the Nystroem map
+    bias: float  # of a sentence
+    slope: np.ndarray  # of text_features
+    shift: float
     prior: float
 
+    def learn(self, words: Iterable[str], cache: dict[str, float]) -> None:
+        """Adds the values of words to the cache."""
+        new = [w for w in words if w not in cache]
+        for lo in range(0, len(new), 20_000):
+            part = new[lo : lo + 20_000]
+            cache.update(zip(part, (self.marks.kernel(part) ** POWER @ self.weights).tolist()))
+
     def values(self, texts: list[str | None], cache: dict[str, float], most: int = 300_000) -> np.ndarray:
-        """The :func:`text_value` of each text."""
+        """The value of each text; at most ``most`` words stay in the cache."""
         out = np.full(len(texts), LEAST)
-        for lo in range(0, len(texts), 256):
-            bags = [segments(t or "") for t in texts[lo : lo + 256]]
-            new = list({w for bag in bags for w in bag if w not in cache})
-            if len(cache) + len(new) > most:
+        for lo in range(0, len(texts), 128):
+            docs = [sentence_bags(t) for t in texts[lo : lo + 128]]
+            words = set().union(*(b for bags in docs for b in bags))
+            if len(cache) + len(words) > most:
                 cache.clear()
-                new = list({w for bag in bags for w in bag})
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                cache.update(zip(part, (decision(part, self.weights) + self.bias).tolist()))
-            for i, bag in enumerate(bags):
-                out[lo + i] = text_value(map(cache.__getitem__, bag))
+            self.learn(words, cache)
+            get = cache.__getitem__
+            for i, bags in enumerate(docs):
+                if bags:
+                    out[lo + i] = float(np.dot(self.slope, text_features([self.bias + sum(map(get, b)) for b in bags])) + self.shift)
         return out
 
     def scores(self, texts: list[str | None], cache: dict[str, float]) -> np.ndarray:
-        if self.weights is None:
+        if self.marks is None:
             return np.full(len(texts), self.prior)
-        return 1 / (1 + np.exp(-np.clip(self.a * self.values(texts, cache) + self.b, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.values(texts, cache), -30, 30)))
 
 
-def disguises(word: str, rng: np.random.Generator) -> list[str]:
-    """The word with one character inserted, and with one inner character masked by a digit."""
-    i, j = int(rng.integers(1, len(word))), int(rng.integers(1, max(2, len(word) - 1)))
-    return [word[:i] + chr(97 + int(rng.integers(26))) + word[i:], word[:j] + "0" + word[j + 1 :]]
+def disguised(word: str, rng: np.random.Generator) -> str:
+    """The word with one character inserted, or with one inner character masked by a digit."""
+    if rng.random() < 0.5:
+        i = int(rng.integers(1, len(word)))
+        return word[:i] + chr(97 + int(rng.integers(26))) + word[i:]
+    j = int(rng.integers(1, max(2, len(word) - 1)))
+    return word[:j] + "0" + word[j + 1 :]
 
 
-def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, rounds: int = 30) -> np.ndarray:
-    """Squared-hinge linear SVM with a bias, by Newton steps on the active set."""
-    x = np.c_[z, np.ones(len(z))].astype(np.float64)
-    reg = np.eye(x.shape[1])
+def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Squared-hinge linear SVM with a bias (the last weight), by Newton steps on the active set."""
+    n = z.shape[1]
+    reg = np.eye(n + 1)
     reg[-1, -1] = 1e-3
-    w = np.zeros(x.shape[1])
+    w = np.zeros(n + 1)
     for _ in range(rounds):
-        active = y * (x @ w) < 1
-        xa, k = x[active], c * weight[active]
-        new = np.linalg.solve(reg + (xa * k[:, None]).T @ xa, (xa * k[:, None]).T @ y[active])
+        active = np.flatnonzero(y * (z @ w[:-1].astype(z.dtype) + w[-1]) < 1)
+        gram, side = reg.copy(), np.zeros(n + 1)
+        for lo in range(0, len(active), 8192):
+            at = active[lo : lo + 8192]
+            xa = np.c_[z[at], np.ones(len(at))].astype(np.float64)
+            xk = xa * weight[at][:, None]
+            gram += xk.T @ xa
+            side += xk.T @ y[at]
+        new = np.linalg.solve(gram, side)
         if np.abs(new - w).max() < 1e-6:
             return new
         w = new
     return w
 
 
-def spread(words: list[str], most: int) -> list[str]:
-    """Greedy k-centre picks: each next landmark is the word that those so far cover least."""
-    vec = vectors(words[:200])
-    sims = vec @ vec.T
-    picked = [0]
-    cover = sims[0].copy()
-    while len(picked) < min(most, len(sims)):
-        nxt = int(np.argmin(cover))
-        if cover[nxt] > 0.98:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """(slope, shift) of the weighted logistic fit, by Newton steps of bounded length."""
+    x = np.c_[x, np.ones(len(x))]
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (p - y)) + ridge * w)
+        w = w - step * min(1.0, 4 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-8:
             break
-        picked.append(nxt)
-        cover = np.maximum(cover, sims[nxt])
-    return [words[i] for i in picked]
+    return w[:-1], float(w[-1])
+
 
+class Sentences:
+    """Distinct training sentences (tuples of segments), and sums of word rows over them in blocks."""
 
-def fit(rows: list[tuple[int, set[str]]], counts: dict[int, int], landmarks: int = 96, hardest: int = 3000, rounds: int = 4, seed: int = 7) -> ToxicModel:
-    """Fit on (label, segments of the text) of sampled documents."""
+    def __init__(self, bags: list[tuple[str, ...]]):
+        self.bags = bags
+
+    def features(self, row_of, width: int, block: int = 4000) -> np.ndarray:
+        """Sum over each sentence of ``row_of(words)``, an array of one row a word."""
+        out = np.empty((len(self.bags), width), np.float32)
+        for lo in range(0, len(self.bags), block):
+            part = self.bags[lo : lo + block]
+            words = sorted({w for b in part for w in b})
+            place = {w: i for i, w in enumerate(words)}
+            lens = np.array([len(b) for b in part])
+            out[lo : lo + block] = np.add.reduceat(row_of(words)[[place[w] for b in part for w in b]], np.cumsum(lens) - lens, axis=0)
+        return out
+
+
+def fit(rows: list[tuple[int, Iterable[str]]], counts: dict[int, int], toxic_marks: int = 96, common_marks: int = 16, hard_marks: int = 32, rounds: int = 5, cost: float = 0.1, most_rows: int = 50_000, seed: int = 7) -> ToxicModel:
+    """Fit on (label, sentences of the text, each its segments joined by blanks) of sampled documents.
+
+    Of more than ``most_rows`` distinct sentences of a class, those of the least hash are the training rows;
+    ``toxic_marks`` + ``common_marks`` + ``hard_marks`` bounds the landmarks. Counts of words and the
+    calibration see all sentences given."""
     total = sum(counts.values())
     prior = (counts.get(1, 0) + 1) / (total + 2)
-    toxic, clean = distinct_bags([s for y, s in rows if y == 1 and s]), distinct_bags([s for y, s in rows if y == 0])
-    if not toxic or not clean:
-        return ToxicModel(None, 0.0, 1.0, 0.0, prior)
-    pos, neg = _df(toxic), _df(clean)
+    none = ToxicModel(None, np.zeros(0), 0.0, np.zeros(4), 0.0, prior)
+    names: dict[str, str] = {}  # one object a word
+    docs = [(y, [tuple(names.setdefault(w, w) for w in sorted(set(s.split()))) for s in sentences if s.strip()]) for y, sentences in rows]
+    per = {k: sum(1 for y, _ in docs if y == k) for k in (0, 1)}
+    clean = {b for y, bags in docs if y == 0 for b in bags}
+    toxic = {b for y, bags in docs if y == 1 for b in bags} - clean
+    if not clean or not toxic:
+        return none
+    df: dict[int, dict[str, int]] = {0: {}, 1: {}}
+    for y, bags in docs:
+        own = df[y]
+        for w in {w for b in bags for w in b}:
+            own[w] = own.get(w, 0) + 1
+
+    def told(w: str) -> float:
+        """How many standard errors lie between the word's shares of toxic and of clean documents."""
+        a, b = df[1].get(w, 0), df[0].get(w, 0)
+        p = (a + b) / (per[0] + per[1])
+        return (a / per[1] - b / per[0]) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / per[1] + 1 / per[0]))
+
+    usual = sorted((w for w in df[0] if len(w) > 1), key=lambda w: (-df[0][w], w))
+    marks = spread(sorted((w for w in df[1] if len(w) > 2), key=lambda w: (-told(w), w)), toxic_marks)
+    marks += [w for w in spread(usual, common_marks) if w not in marks]
+    if not marks:
+        return none
+    twice = [w for w in usual if df[0][w] > 1]
+    order = lambda bags: sorted(bags, key=lambda b: (zlib.crc32(" ".join(b).encode("utf-8", "surrogatepass")), b))[:most_rows]
+    good, bad = order(clean), order(toxic)
+    place = {b: len(good) + i for i, b in enumerate(bad)}
+    owned = [sorted({place[b] for b in bags if b in place}) for y, bags in docs if y == 1]
+    kept = Sentences(good + bad)
+    label = np.r_[-np.ones(len(good)), np.ones(len(bad))]
     rng = np.random.default_rng(seed)
-    good = sorted((w for w in neg if len(w) > 1), key=lambda w: (-neg[w], w))
-    usual = good[:2000]
-    rare = [good[i] for i in sorted(rng.permutation(len(good))[:6000])]
-
-    def strength(w: str) -> float:
-        return np.log((pos[w] + 0.5) / (len(toxic) + 1)) - np.log((neg.get(w, 0) + 0.5) / (len(clean) + 1))
-
-    stems = telling(toxic, clean)
-    witness = [w for w in sorted(pos) if len(w) > 2 and strength(w) > 1.0 and any(w[:k] in stems for k in range(4, 8)) or w in stems]
-    if not witness:
-        witness = sorted((w for w in pos if len(w) > 2), key=lambda w: (-strength(w), w))[:10]
-    hard: list[str] = []
-    weights = bias = None
-    if not witness:
-        return ToxicModel(None, 0.0, 1.0, 0.0, prior)
-    clean_words = [w for w in good]
+    model, known = none, set(marks)
+    extra: list[tuple[str, ...]] = []
+    use = np.ones(len(label), bool)
+    land, raw, z, white = Landmarks([]), np.zeros((len(kept.bags), 0), np.float32), None, None
     for r in range(rounds):
-        chosen = sorted(witness, key=lambda w: (-pos[w], w))[:300]
-        shown = chosen + [d for w in chosen for d in disguises(w, rng)]
-        other = list(dict.fromkeys(hard + usual + rare))
-        chosen_set = set(chosen)
-        other = [w for w in other if w not in chosen_set]
-        marks = spread(chosen, landmarks) + spread(hard[:400] or usual[:400], landmarks)
-        lv = vectors(marks)
-        val, vec = np.linalg.eigh((lv @ lv.T).astype(np.float64) + 1e-4 * np.eye(len(marks)))
-        white = vec / np.sqrt(np.maximum(val, 1e-6))
-        z = kernel(shown + other, lv) @ white
-        y = np.r_[np.ones(len(shown)), -np.ones(len(other))]
-        seen = np.log1p([pos[w] for w in chosen])
-        wt = np.r_[20 * seen, np.repeat(seen, 2) * 2, np.full(len(other), 5.0)]
-        w = _svm(z, y, wt)
-        weights, bias = (lv.T @ (white @ w[:-1])).astype(np.float32), float(w[-1])
+        if len(land.words) < len(marks):
+            more = Landmarks(marks[len(land.words) :])
+            raw = np.c_[raw, kept.features(lambda words, more=more: more.kernel(words) ** POWER, len(more.words))]
+            land = Landmarks(marks)
+            val, vec = np.linalg.eigh(land.kernel(marks).astype(np.float64) ** POWER + 1e-3 * np.eye(len(marks)))
+            white = (vec / np.sqrt(np.maximum(val, 1e-6))).astype(np.float32)
+            z = raw @ white
+        x, y = z[use], label[use]
+        if extra:
+            x, y = np.r_[x, Sentences(extra).features(lambda words: land.kernel(words) ** POWER, len(marks)) @ white], np.r_[y, np.ones(len(extra))]
+        rare = np.sqrt(max(1.0, (y < 0).sum() / max((y > 0).sum(), 1)))  # halfway to classes weighed alike
+        w = _svm(x, y, cost * np.where(y > 0, rare, 1.0))
+        model = ToxicModel(land, white @ w[:-1].astype(np.float32), float(w[-1]), np.zeros(4), 0.0, prior)
         if r == rounds - 1:
             break
-        ranked = decision(clean_words, weights) + bias
-        hard = [clean_words[i] for i in np.argsort(-ranked, kind="stable")[:hardest]]
-        # Toxic texts that no witness explains name their highest segment, if it is not usual in clean texts.
-        extra: dict[str, int] = {}
-        known = set(witness)
-        for bag in toxic:
-            if bag & known:
-                continue
-            own = sorted(w for w in bag if len(w) > 2 and strength(w) > 1.0)
-            if own:
-                v = decision(own, weights) + bias
-                if v.max() > -0.3:
-                    top = own[int(np.argmax(v))]
-                    extra[top] = extra.get(top, 0) + 1
-        # A witness that clean texts hold about as often is none.
-        witness = [w for w in witness if strength(w) > 1.0] + sorted(extra)
-    model = ToxicModel(weights, bias, 1.0, 0.0, prior)
-    cache: dict[str, float] = {}
-    raw = []
-    for _, bag in rows:
-        new = [w for w in bag if w not in cache]
-        cache.update(zip(new, (decision(new, weights) + bias).tolist()))
-        raw.append(text_value(map(cache.__getitem__, bag)))
-    per = {k: sum(1 for q, _ in rows if q == k) for k in (0, 1)}
-    share = {k: counts.get(k, per[k]) / max(per[k], 1) for k in (0, 1)}
-    model.a, model.b = platt(raw, [q for q, _ in rows], [share[q] for q, _ in rows])
+        value = z @ w[:-1].astype(np.float32) + w[-1]
+        use = label < 0
+        best = {own[int(np.argmax(value[own]))] for own in owned if own}
+        use[sorted(best)] = True
+        use |= (label > 0) & (value > 0)
+        cache: dict[str, float] = {}
+        model.learn({q for i in best for q in kept.bags[i]}, cache)
+        extra = []
+        for i in sorted(best):
+            bag = kept.bags[i]
+            worst = max(bag, key=lambda q: (cache[q], q))
+            if len(worst) > 2:
+                extra.append(tuple(disguised(q, rng) if q == worst else q for q in bag))
+        # Clean segments that score high, the frequent ones first, become landmarks too.
+        model.learn(twice, cache)
+        hard = sorted((q for q in twice if cache[q] > 0.2 and df[1].get(q, 0) * per[0] < 2 * df[0][q] * per[1] and q not in known), key=lambda q: (-cache[q] * np.log1p(df[0][q]), q))
+        marks = marks + spread(hard, hard_marks // (rounds - 1))
+        known.update(marks)
+    cache = {}
+    got = []
+    for y, bags in docs:
+        model.learn({q for b in bags for q in b}, cache)
+        got.append((y, text_features([model.bias + sum(cache[q] for q in b) for b in bags])) if bags else None)
+    got = [g for g in got if g]
+    y = np.array([g[0] for g in got])
+    share = np.array([counts.get(k, per[k]) / max(per[k], 1) for k in (0, 1)])
+    model.slope, model.shift = logistic(np.array([g[1] for g in got]), y, share[y])
     return model
 
 
-def telling(toxic: list[set[str]], clean: list[set[str]], least_ratio: float = 20.0) -> set[str]:
-    """Words and stems whose document counts speak for toxic texts: likelihood-ratio statistic of
-    ``least_ratio`` at least, and at least three in five of their documents (classes weighed alike) toxic."""
-
-    def stemmed(bag: set[str]) -> set[str]:
-        return {w for w in bag if len(w) > 2} | {w[:k] for w in bag for k in range(4, 8) if len(w) > k}
-
-    pos, neg = _df([stemmed(b) for b in toxic]), _df([stemmed(b) for b in clean])
-    n, m = len(toxic), len(clean)
-    out = set()
-    for w, k in pos.items():
-        j = neg.get(w, 0)
-        if k < 3 or k * m <= 4 * j * n:
-            continue
-        p = (k + j) / (n + m)
-        ratio = 2 * (k * np.log(k / (n * p)) + (j * np.log(j / (m * p)) if j else 0) + (n - k) * np.log(max(n - k, 1e-9) / (n * (1 - p))) + (m - j) * np.log(max(m - j, 1e-9) / (m * (1 - p))))
-        if ratio >= least_ratio and k >= 0.6 * (k + j):
-            out.add(w)
-    return out
-
-
-def distinct_bags(bags: list[set[str]]) -> list[set[str]]:
-    """One bag of each group of (near) copies, told by the three least word hashes: a text that was copied
-    a hundred times is no hundred witnesses."""
-    first: dict[tuple, set[str]] = {}
-    for bag in bags:
-        first.setdefault(tuple(sorted(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in bag)[:3]), bag)
-    return list(first.values())
-
-
-def _df(bags: list[set[str]]) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for bag in bags:
-        for w in bag:
-            out[w] = out.get(w, 0) + 1
-    return out
-
-
-def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, per_class: int = 2000) -> ToxicModel:
-    """Fit on at most ``per_class`` labelled documents of each class outside the held-out fold (the bound:
-    the distinct segments of their sentences are all that reaches the driver)."""
+def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, per_class: int = 2000, per_text: int = 400) -> ToxicModel:
+    """Fit on at most ``per_class`` labelled documents of each class outside the held-out fold, and on at most
+    ``per_text`` sentences of each, those of the least hash: these bounds limit what reaches the driver."""
     sample, counts = labelled_sample(docs, labels, "toxic", modulus, held_out, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            bags = [sorted(set().union(*map(segments, sentences(t)))) if t else [] for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([" ".join(b) for b in bags], pa.string())], names=["doc_id", "y", "bag"])
+        for batch in slices(batches, 64):
+            kept = []
+            for t in batch.column(2).to_pylist():
+                own = [" ".join(sorted(b)) for b in sentence_bags(t)]
+                if len(own) > per_text:
+                    own = sorted(own, key=lambda s: (zlib.crc32(s.encode("utf-8", "surrogatepass")), s))[:per_text]
+                kept.append("\n".join(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.string())], names=["doc_id", "y", "bags"])
 
-    rows = sample.mapInArrow(run, "doc_id bigint, y int, bag string").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["y"]))
-    return fit([(r["y"], set(r["bag"].split())) for r in rows], counts)
+    rows = sample.mapInArrow(run, "doc_id bigint, y int, bags string").toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["doc_id"], r["y"], r["bags"]))
+    return fit([(r["y"], r["bags"].split("\n")) for r in rows], counts)
 
 
 def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.3) -> DataFrame:
@@ -360,7 +388,7 @@ def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.3) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
-        for batch in slices(batches):
+        for batch in slices(batches, 128):
             s = model.scores(batch.column(1).to_pylist(), cache)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 

@@ -41,12 +41,69 @@ def test_disguised_insults_score_above_clean_words():
     assert v("") == v(None) == toxicity.LEAST
 
 
-def test_kernel_folds_into_weights():
-    words, marks = ["idiot", "stone", "ox", "x"], ["idiots", "stony"]
-    lv = toxicity.vectors(marks)
-    alpha = np.array([0.7, -0.4])
-    assert np.allclose(toxicity.kernel(words, lv) @ alpha, toxicity.decision(words, (lv.T @ alpha).astype(np.float32)), atol=1e-5)
-    assert np.allclose(toxicity.kernel(words[:3], toxicity.vectors(words[:3])), toxicity.vectors(words[:3]) @ toxicity.vectors(words[:3]).T, atol=1e-5)
+def naive_subsequences(word):
+    """Every gapped three-character subsequence by enumeration, opening mark included; letters as the kernel's classes."""
+    from itertools import combinations
+
+    def letter(ch):
+        return 41 if ch == toxicity.OPEN else ord(ch) - 96 if "a" <= ch <= "z" else 27 if "0" <= ch <= "9" else 28 + ord(ch) % 13
+
+    chars, out = toxicity.OPEN + word, {}
+    for at in combinations(range(len(chars)), 3):
+        if (span := at[2] - at[0] + 1) <= toxicity.SPAN:
+            key = tuple(letter(chars[i]) for i in at)
+            out[key] = out.get(key, 0) + toxicity.DECAY**span
+    return out
+
+
+def test_kernel_equals_enumeration():
+    words = ["idiot", "idxiot", "aaaaaaaa", "lichlich", "ox", "x", "réeux", "w0rd9", "stone"]
+    marks = ["idiots", "stony", "lich", "aaaa", "y"]
+    got = toxicity.Landmarks(marks).kernel(words, block=4)
+    for i, w in enumerate(words):
+        for j, m in enumerate(marks):
+            a, b = naive_subsequences(w), naive_subsequences(m)
+            norm = np.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+            assert abs(got[i, j] - (sum(v * b.get(k, 0) for k, v in a.items()) / norm if norm else 0)) < 1e-6
+
+
+def test_sentence_values_are_sums_over_landmarks():
+    marks = toxicity.Landmarks(["idiot", "river"])
+    model = toxicity.ToxicModel(marks, np.array([2.0, -1.0]), -0.5, np.array([1.0, 0.5, 0.25, -0.1]), 0.2, 0.5)
+    k = lambda w: marks.kernel([w])[0] ** toxicity.POWER @ np.array([2.0, -1.0])
+    one, two = -0.5 + k("you") + k("idiot"), -0.5 + k("the") + k("river")
+    want = one + 0.5 * two - 0.25 * toxicity.CLIP - 0.1 * np.log(3) + 0.2
+    assert abs(model.values(["You id.iot! The river, the river."], {})[0] - want) < 1e-6
+    long = "word " * 100_000 + "idiot"
+    assert len(toxicity.sentence_bags(long)) == 2501 and np.isfinite(model.values([long], {}, most=3)[0])
+
+
+def test_toxicity_recall_and_precision():
+    import zlib
+
+    import pyarrow.parquet as pq
+
+    sf = "/root/testdata/sf0.1"
+    toxic = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
+    docs = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist() if r["doc_id"] in toxic]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    rows = [(toxic[i], [" ".join(sorted(b)) for b in toxicity.sentence_bags(t)]) for i, t in docs if not held(i)]
+    model = toxicity.fit(rows, {y: sum(1 for r in rows if r[0] == y) for y in (0, 1)})
+    y = np.array([toxic[i] for i, _ in docs if held(i)])
+    hit = model.scores([t for i, t in docs if held(i)], {}) >= 0.3
+    assert hit[y == 1].mean() >= 0.9 and y[hit].mean() >= 0.9 and (hit == y).mean() >= 0.97
+
+
+def test_toxicity_edges(spark):
+    schema = "doc_id bigint, text string, score string, predicted string, y int"
+    rows = [(i, "the river runs by the town. you are a fine friend." if i % 3 else "you idiot. the river runs.", "x", None, 1) for i in range(60)]
+    rows += [(None, None, None, None, None), (100, "", "", "", 1), (100, "", "", "", 1), (101, "idiot " * 50_000, "", "", 1)]
+    docs = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(3, 1), (None, 1), (5, None)], "doc_id bigint, toxic int")
+    out = toxicity.score_documents(docs, labels).collect()
+    assert len(out) == len(rows) and {r.predicted for r in out if r.doc_id is not None and r.doc_id < 60 and r.doc_id % 3} == {0}
+    assert {r.predicted for r in out if r.doc_id is not None and r.doc_id < 60 and r.doc_id % 3 == 0} == {1}
+    assert toxicity.score_documents(docs.limit(0), labels).count() == 0
 
 
 def test_models_without_both_classes(spark):
