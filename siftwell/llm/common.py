@@ -14,15 +14,15 @@ ARROW_ROWS = 1024
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a fresh local one only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if not own:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="siftwell-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset a fresh local folder
+    serves a local master; on a cluster, whose executors could not read it, that is refused."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="siftwell-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
 
 
 def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:

@@ -1,20 +1,25 @@
 """Document quality from a linear-chain conditional random field over its lines.
 
 Every ``\\n``-split line with a word is a node, labelled good (1) or bad (0). Node potentials are linear
-in binned features of the line and of the lines before and after; edges have a 2 x 2 table. Training
-takes the document's label as the label of each of its lines (lines of long documents come in chains of
-at most ``chain`` nodes), so the edges learn how firmly lines of one document agree, and weighs the two
-classes alike. Scoring runs forward-backward over the whole document; the good marginals, weighted by
-the lines' lengths in code points, average to the document's value, and a two-parameter sigmoid fitted
-on the training documents turns its logit into the score.
+in binned features of the line and of the lines before and after; edges have a 2 x 2 table. Labels mark
+documents, so training takes two rounds: first every line has its document's label; then lines whose own
+features say the contrary by ``MARGIN`` in log odds under the first fit take the other label (one line of
+the document's label stays at least) and the field is fitted anew, so that the edges see labels change
+inside documents. Lines of long documents come in chains of at most ``chain`` nodes; the two classes of
+documents weigh alike. Scoring runs forward-backward over the whole document; the good marginals,
+weighted by the lines' lengths in code points, average to the document's value, and a two-parameter
+sigmoid fitted on the training documents turns its logit into the score.
 
 Null and empty texts, or texts of white space, are one node with the feature "empty". Without training
-rows of both classes the score is the smoothed share of good labels. Labels, language, source and id
-are no inputs of the score; repeated rows are scored each on its own.
+rows of both classes the score is the smoothed share of good labels (:func:`keep_good` then keeps all rows
+and warns). Labels, language, source and id are no inputs of the score; repeated rows are scored each on
+its own.
 """
 
 from __future__ import annotations
 
+import warnings
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -25,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import crc_fold, slices, texts
+from siftwell.llm.quality_rules import CLOSERS
 from siftwell.llm.sampling import labelled_sample, platt
 
 SYMBOLS = "#*$%&|<>"
@@ -34,6 +40,7 @@ LENGTH_BINS = (1, 3, 6, 12, 25, 50, 100, 200)
 RATIOS = ("symbol words", "bangs", "upper words", "same neighbours", "repeats", "digits", "commas")
 N_FEATURES = len(RATIOS) * (len(RATIO_BINS) + 1) + len(LENGTH_BINS) + 1 + 4
 EMPTY = N_FEATURES - 1
+MARGIN = 2.0
 
 
 def line_features(line: str, words: list[str], seen: set[str]) -> list[int]:
@@ -60,7 +67,7 @@ def line_features(line: str, words: list[str], seen: set[str]) -> list[int]:
         k += 1
     out.append(at + k)
     at += len(LENGTH_BINS) + 1
-    if line.rstrip()[-1:] in ".!?…:;\"'”’»)]":
+    if line.rstrip()[-1:] in CLOSERS:
         out.append(at)
     if line in seen:
         out.append(at + 1)
@@ -69,15 +76,15 @@ def line_features(line: str, words: list[str], seen: set[str]) -> list[int]:
     return out
 
 
-def document_lines(text: str | None) -> tuple[list[list[int]], list[int]]:
-    """Features and lengths of the lines of one text."""
+def document_lines(text: str | None) -> tuple[list[bytes], list[int]]:
+    """Features (one byte each) and lengths of the lines of one text."""
     feats, sizes, seen = [], [], set()
     for line in (text or "").split("\n"):
         if words := line.split():
-            feats.append(line_features(line, words, seen))
+            feats.append(bytes(line_features(line, words, seen)))
             sizes.append(len(line))
             seen.add(line)
-    return (feats, sizes) if feats else ([[EMPTY]], [1])
+    return (feats, sizes) if feats else ([bytes([EMPTY])], [1])
 
 
 def one_hot(feats: list[list[int]]) -> np.ndarray:
@@ -99,13 +106,16 @@ class LineCRF:
     b: float = 0.0
     prior: float | None = None  # set when nothing could be learned
 
-    def potentials(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def potentials(self, feats: list[bytes], starts: np.ndarray) -> np.ndarray:
         """Good-against-bad node scores of lines stacked document after document."""
-        s = x @ self.own + self.bias
-        if len(x) > 1:
-            inner = np.ones(len(x), bool)
+        flat = np.frombuffer(b"".join(feats), np.uint8)
+        lens = np.fromiter(map(len, feats), np.int64, len(feats))
+        at = np.cumsum(lens) - lens
+        s, prev, nxt = (np.add.reduceat(w[flat], at).astype(np.float64) for w in (self.own, self.before, self.after))
+        s += self.bias
+        if len(feats) > 1:
+            inner = np.ones(len(feats), bool)
             inner[starts] = False
-            prev, nxt = x @ self.before, x @ self.after
             s[1:] += np.where(inner[1:], prev[:-1], 0)
             s[:-1] += np.where(inner[1:], nxt[1:], 0)
         return s
@@ -114,15 +124,17 @@ class LineCRF:
         if self.prior is not None:
             return np.full(len(texts), self.prior)
         out = np.empty(len(texts))
-        for lo in range(0, len(texts), 512):
-            part = [document_lines(t) for t in texts[lo : lo + 512]]
-            counts = np.array([len(f) for f, _ in part])
-            ends = np.cumsum(counts)
-            s = self.potentials(one_hot([f for fs, _ in part for f in fs]), ends - counts).astype(float).tolist()
-            for i, (_, sizes) in enumerate(part):
-                out[lo + i] = self.value(s[ends[i] - counts[i] : ends[i]], sizes)
+        for lo in range(0, len(texts), 64):
+            out[lo : lo + 64] = self.document_values([document_lines(t) for t in texts[lo : lo + 64]])
         return 1 / (1 + np.exp(-np.clip(self.a * out + self.b, -30, 30)))
 
+    def document_values(self, part: list[tuple[list[bytes], list[int]]]) -> list[float]:
+        """The :meth:`value` of each document, given as features and lengths of its lines."""
+        counts = np.array([len(f) for f, _ in part])
+        ends = np.cumsum(counts)
+        s = self.potentials([f for fs, _ in part for f in fs], ends - counts).tolist()
+        return [self.value(s[ends[i] - counts[i] : ends[i]], sizes) for i, (_, sizes) in enumerate(part)]
+
     def value(self, s: list[float], sizes: list[int]) -> float:
         """Logit of the length-weighted mean of the good marginals (forward-backward over log odds)."""
         e = self.edge
@@ -164,7 +176,7 @@ def _hopper(e: np.ndarray):
     return hop
 
 
-def fit(rows: list[tuple[int, list[list[int]], list[int]]], counts: dict[int, int], chain: int = 64, rounds: int = 150, ridge: float = 1.0, rate: float = 0.15) -> LineCRF:
+def fit(rows: list[tuple[int, list[bytes], list[int]]], counts: dict[int, int], chain: int = 64, rounds: int = 150, ridge: float = 1.0, rate: float = 0.15) -> LineCRF:
     """Fit on (label, features of lines, lengths of lines), by Adam on the class-weighted likelihood."""
     f = N_FEATURES
     total = sum(counts.values())
@@ -172,25 +184,47 @@ def fit(rows: list[tuple[int, list[list[int]], list[int]]], counts: dict[int, in
     if not rows or len({y for y, _, _ in rows}) < 2:
         zero.prior = (counts.get(1, 0) + 1) / (total + 2)
         return zero
-    chains, labels, weights = [], [], []
+    rows = [(y, [bytes(q) for q in feats], sizes) for y, feats, sizes in rows]
     per = {y: sum(1 for r in rows if r[0] == y) for y in (0, 1)}
-    for y, feats, _ in rows:
-        cuts = [feats[k : k + chain] for k in range(0, len(feats), chain)]
-        for c in cuts:
-            chains.append(c)
-            labels.append(y)
-            weights.append(0.5 / per[y] / len(cuts))
+    first = _fit_lines(rows, [np.full(len(r[1]), r[0]) for r in rows], per, chain, rounds, ridge, rate)
+    model = _fit_lines(rows, [relabelled(first, y, feats) for y, feats, _ in rows], per, chain, rounds, ridge, rate)
+    raw = [v for lo in range(0, len(rows), 512) for v in model.document_values([r[1:] for r in rows[lo : lo + 512]])]
+    share = [counts.get(y, per[y]) / per[y] for y in (0, 1)]
+    model.a, model.b = platt(raw, [r[0] for r in rows], [share[r[0]] for r in rows])
+    return model
+
+
+def relabelled(model: LineCRF, y: int, feats: list[bytes]) -> np.ndarray:
+    """Labels of a document's lines: its own, but the other where a line's own features say so by MARGIN; the
+    line that says so least keeps the document's label."""
+    odds = np.array([model.own[list(q)].sum() for q in feats], np.float64) + model.bias
+    against = -odds if y else odds
+    out = np.where(against > MARGIN, 1 - y, y)
+    out[int(np.argmin(against))] = y
+    return out
+
+
+def _fit_lines(rows, line_labels: list[np.ndarray], per: dict[int, int], chain: int, rounds: int, ridge: float, rate: float) -> LineCRF:
+    """The field for given labels of all lines; a document's chains share its weight."""
+    f = N_FEATURES
+    chains, labels, weights = [], [], []
+    for (y, feats, _), own in zip(rows, line_labels):
+        for k in range(0, len(feats), chain):
+            chains.append(feats[k : k + chain])
+            labels.append(own[k : k + chain])
+            weights.append(0.5 / per[y] / -(-len(feats) // chain))
     order = sorted(range(len(chains)), key=lambda i: len(chains[i]))
     batches = []
     for lo in range(0, len(order), 1024):  # chains of like length share a block
         idx = order[lo : lo + 1024]
         t = max(len(chains[i]) for i in idx)
         x = np.zeros((len(idx), t + 2, f), np.float32)  # padded by one line at both ends
-        mask = np.zeros((len(idx), t), bool)
+        mask, y = np.zeros((len(idx), t), bool), np.zeros((len(idx), t), np.int64)
         for r, i in enumerate(idx):
             x[r, 1 : len(chains[i]) + 1] = one_hot(chains[i])
             mask[r, : len(chains[i])] = True
-        batches.append((x, mask, np.array([labels[i] for i in idx]), np.array([weights[i] for i in idx])))
+            y[r, : len(chains[i])] = labels[i]
+        batches.append((x, mask, y, np.array([weights[i] for i in idx])))
     w = np.zeros(3 * f + 1 + 2 + 4)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
@@ -199,23 +233,14 @@ def fit(rows: list[tuple[int, list[list[int]], list[int]]], counts: dict[int, in
             grad -= _gradient(w, x, mask, y, wt)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    model = LineCRF(w[:f].astype(np.float32), w[f : 2 * f].astype(np.float32), w[2 * f : 3 * f].astype(np.float32), float(w[3 * f]), w[3 * f + 1 : 3 * f + 3], w[3 * f + 3 :].reshape(2, 2))
-    raw = []
-    for lo in range(0, len(rows), 512):
-        part = rows[lo : lo + 512]
-        n = np.array([len(r[1]) for r in part])
-        ends = np.cumsum(n)
-        s = model.potentials(one_hot([q for r in part for q in r[1]]), ends - n).astype(float).tolist()
-        raw += [model.value(s[ends[i] - n[i] : ends[i]], r[2]) for i, r in enumerate(part)]
-    share = [counts.get(y, per[y]) / per[y] for y in (0, 1)]
-    model.a, model.b = platt(raw, [r[0] for r in rows], [share[r[0]] for r in rows])
-    return model
+    return LineCRF(w[:f].astype(np.float32), w[f : 2 * f].astype(np.float32), w[2 * f : 3 * f].astype(np.float32), float(w[3 * f]), w[3 * f + 1 : 3 * f + 3], w[3 * f + 3 :].reshape(2, 2))
 
 
 def _gradient(w: np.ndarray, x: np.ndarray, mask: np.ndarray, y: np.ndarray, wt: np.ndarray) -> np.ndarray:
-    """Gradient of the weighted log likelihood of one block of chains."""
+    """Gradient of the weighted log likelihood of one block of chains; ``y`` has a label a line, or a chain."""
     f = x.shape[2]
     n, t = mask.shape
+    y = np.broadcast_to(y[:, None], mask.shape) if y.ndim == 1 else y
     s = x[:, 1:-1] @ w[:f] + x[:, :-2] @ w[f : 2 * f] + x[:, 2:] @ w[2 * f : 3 * f] + w[3 * f]
     first, e = w[3 * f + 1 : 3 * f + 3], w[3 * f + 3 :].reshape(2, 2)
     node = np.stack([np.zeros_like(s), s], axis=2)
@@ -229,38 +254,48 @@ def _gradient(w: np.ndarray, x: np.ndarray, mask: np.ndarray, y: np.ndarray, wt:
         beta[:, k] = np.where(mask[:, k + 1, None], np.logaddexp(nxt[:, :1] + e[:, 0], nxt[:, 1:] + e[:, 1]), 0)
     logz = np.logaddexp(*(alpha[np.arange(n), lens - 1].T))
     p = np.exp(alpha + beta - logz[:, None, None])
-    d = np.where(mask, (y[:, None] - p[:, :, 1]), 0) * wt[:, None]
+    d = np.where(mask, (y - p[:, :, 1]), 0) * wt[:, None]
     g = np.zeros_like(w)
     for k, part in enumerate((x[:, 1:-1], x[:, :-2], x[:, 2:])):
         g[k * f : (k + 1) * f] = np.tensordot(d, part, axes=([0, 1], [0, 1]))
     g[3 * f] = d.sum()
     for lab in (0, 1):
-        g[3 * f + 1 + lab] = (wt * ((y == lab) - p[:, 0, lab])).sum()
+        g[3 * f + 1 + lab] = (wt * ((y[:, 0] == lab) - p[:, 0, lab])).sum()
     if t > 1:
         live = mask[:, 1:]
         for i in (0, 1):
             for j in (0, 1):
                 q = np.exp(alpha[:, :-1, i] + e[i, j] + node[:, 1:, j] + beta[:, 1:, j] - logz[:, None])
-                g[3 * f + 3 + 2 * i + j] = ((((y == i) & (y == j))[:, None] - q) * live * wt[:, None]).sum()
+                g[3 * f + 3 + 2 * i + j] = ((((y[:, :-1] == i) & (y[:, 1:] == j)) - q) * live * wt[:, None]).sum()
     return g
 
 
-def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, per_class: int = 1500) -> LineCRF:
-    """Fit on at most ``per_class`` labelled documents of each class outside the held-out fold (the
-    bound; features of their lines, a few bytes each, are all that reaches the driver)."""
+def sampled_lines(feats: list[bytes], sizes: list[int], most: int, chain: int = 64) -> tuple[list[bytes], list[int]]:
+    """Of a document of more than ``most`` lines, the chains of least hash, in order; others whole."""
+    if len(feats) <= most:
+        return feats, sizes
+    starts = sorted(range(0, len(feats), chain), key=lambda k: (zlib.crc32(b"|".join(feats[k : k + chain])), k))[: most // chain]
+    at = [i for k in sorted(starts) for i in range(k, min(k + chain, len(feats)))]
+    return [feats[i] for i in at], [sizes[i] for i in at]
+
+
+def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, per_class: int = 1500, per_text: int = 4096) -> LineCRF:
+    """Fit on at most ``per_class`` labelled documents of each class outside the held-out fold, and on at most
+    ``per_text`` lines of each (the bounds; features of these lines, a few bytes each, are all that reaches
+    the driver)."""
     sample, counts = labelled_sample(docs, labels, "quality", modulus, held_out, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            parts = [document_lines(t) for t in batch.column(2).to_pylist()]
+            parts = [sampled_lines(*document_lines(t), per_text) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([[bytes(q) for q in f] for f, _ in parts], pa.list_(pa.binary())), pa.array([s for _, s in parts], pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(1), pa.array([f for f, _ in parts], pa.list_(pa.binary())), pa.array([s for _, s in parts], pa.list_(pa.int64()))],
                 names=["doc_id", "y", "feats", "sizes"],
             )
 
     rows = sample.mapInArrow(run, "doc_id bigint, y int, feats array<binary>, sizes array<bigint>").collect()
     rows.sort(key=lambda r: (r.doc_id, r.y))
-    return fit([(int(r.y), [list(q) for q in r.feats], list(r.sizes)) for r in rows], counts)
+    return fit([(int(r.y), [bytes(q) for q in r.feats], list(r.sizes)) for r in rows], counts)
 
 
 def score(docs: DataFrame, model: LineCRF, carry: tuple[str, ...] = ("doc_id",), threshold: float = 0.3) -> DataFrame:
@@ -281,8 +316,14 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, train(docs, labels)).select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The pipeline's form: documents predicted good, in the columns of ``documents``. Text passes through
-    the scorer with its row, so nothing is joined back."""
+def keep_good(docs: DataFrame, labels: DataFrame, source: DataFrame | None = None, threshold: float = 0.3) -> DataFrame:
+    """The pipeline's form: documents predicted good, in the columns of ``documents``. The field is fitted on
+    ``source`` (default: the documents themselves), which should be the table that was labelled: what an
+    earlier filter left may hold one class only. Labels of one class give no verdict: all rows stay, with a
+    warning. Text passes through the scorer with its row, so nothing is joined back."""
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
-    return score(docs.select(*cols), train(docs, labels), carry=tuple(cols), threshold=threshold).where("predicted = 1").select(*cols)
+    model = train(docs if source is None else source, labels)
+    if model.prior is not None:
+        warnings.warn("quality labels of two classes are needed to fit the classifier; all documents stay", stacklevel=2)
+        return docs.select(*cols)
+    return score(docs.select(*cols), model, carry=tuple(cols), threshold=threshold).where("predicted = 1").select(*cols)

@@ -4,7 +4,7 @@ A line (``\\n``-split, at least one word) fails when a rule of :class:`LineRules
 
 * punctuation - more than ``symbols_per_100_words`` of ``[#*$%&|<>]`` or more than
   ``bangs_per_100_words`` exclamation marks for every hundred words;
-* navigation - at most ``nav_words`` words and no closing punctuation (menus, breadcrumbs, buttons);
+* navigation - at most ``nav_words`` words and no closing punctuation of any script (menus, breadcrumbs, buttons);
 * boilerplate - at most ``boiler_words`` words and one of :data:`BOILERPLATE` inside.
 
 A document is kept when its base statistics pass and failed lines hold at most ``max_lost_percent``
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import slices, texts
 
 SYMBOLS = "#*$%&|<>"
-CLOSERS = ".!?…:;\"'”’»)]"
+#: Marks that close a sentence: Latin, then CJK, Arabic, Indic, Armenian, Ethiopic and Khmer ones.
+CLOSERS = ".!?…:;\"'”’»)]" "。！？．：；｡」』）】》〉" "؟؛۔" "।॥" "։՞՜" "።፧" "។៕"
 #: Fixed phrases, matched in ASCII lower case.
 BOILERPLATE = (
     "all rights reserved",

@@ -11,7 +11,8 @@ from siftwell.llm.common import crc_fold, texts
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """At most ``per_class`` training documents of each class (least hash of the id first) as (doc_id, y, text),
     and how many training labels each class has in all. Rows whose crc32 fold is ``held_out`` never enter;
-    null ids, null labels and labels other than 0 and 1 are left out; repeated label rows count once."""
+    null ids, null labels and labels other than 0 and 1 are left out; repeated label rows count once; of
+    several rows of one id the text of the least hash is taken."""
     known = (
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (crc_fold("doc_id", modulus) != held_out))
@@ -23,7 +24,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     spark = docs.sparkSession
     ids = spark.createDataFrame([(int(r.doc_id), int(r.y)) for r in picked], "doc_id bigint, y int")
     slim = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return slim.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text"), counts  # ids: 2 * per_class rows at most
+    found = slim.join(F.broadcast(ids), "doc_id")  # ids: 2 * per_class rows at most
+    return found.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")), counts
 
 
 def platt(score, y, weight, rounds: int = 50, ridge: float = 1e-5) -> tuple[float, float]:

@@ -144,6 +144,53 @@ def test_crf_gradient():
         assert abs((loglik(w + d) - loglik(w - d)) / 2e-5 - g[i]) < 1e-5
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_crf_value_equals_enumeration(seed):
+    from itertools import product
+
+    rng = np.random.default_rng(seed)
+    n, f = 5, line_crf.N_FEATURES
+    model = line_crf.LineCRF(*(rng.normal(size=f).astype(np.float32) for _ in range(3)), 0.3, rng.normal(size=2), rng.normal(size=(2, 2)))
+    feats = [bytes(sorted(rng.choice(f, 4, replace=False).tolist())) for _ in range(n)]
+    sizes = [int(x) for x in rng.integers(1, 40, n)]
+    x = np.zeros((n + 2, f))
+    x[1:-1] = line_crf.one_hot([list(q) for q in feats])
+    s = x[1:-1] @ model.own + x[:-2] @ model.before + x[2:] @ model.after + model.bias
+    weight, good = 0.0, np.zeros(n)
+    for lab in product((0, 1), repeat=n):
+        p = np.exp(model.first[lab[0]] + sum(s[t] * lab[t] for t in range(n)) + sum(model.edge[a, b] for a, b in zip(lab, lab[1:])))
+        weight, good = weight + p, good + p * np.array(lab)
+    share = float(np.average(good / weight, weights=sizes))
+    two = model.document_values([(feats, sizes), ([bytes([line_crf.EMPTY])], [1])])
+    assert abs(two[0] - np.log(share / (1 - share))) < 1e-5
+    assert model.scores(["a line.\n" * 30_000, None]).shape == (2,)
+
+
+def test_lines_take_the_label_that_their_own_features_tell():
+    f = line_crf.N_FEATURES
+    own = np.zeros(f, np.float32)
+    own[3], own[5] = 5.0, -5.0
+    model = line_crf.LineCRF(own, own * 0, own * 0, 0.0, np.zeros(2), np.zeros((2, 2)))
+    assert line_crf.relabelled(model, 0, [bytes([5]), bytes([3]), bytes([7])]).tolist() == [0, 1, 0]
+    assert line_crf.relabelled(model, 1, [bytes([5]), bytes([5])]).tolist() == [1, 0]
+
+
+def test_classifier_stage_is_fitted_on_the_labelled_source(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    bad = [r.doc_id for r in labels.where("quality = 0").collect()]
+    one_class = docs.where(~F.col("doc_id").isin(bad)).withColumn("score", F.lit("x"))
+    junk = docs.where(F.col("doc_id").isin(bad)).limit(20)
+    mixed = one_class.limit(100).unionByName(junk, allowMissingColumns=True)
+    kept = line_crf.keep_good(mixed, labels, docs)
+    model = line_crf.train(docs, labels)
+    want = sorted(r.doc_id for r in mixed.collect() if model.scores([r.text])[0] >= 0.3)
+    assert sorted(r.doc_id for r in kept.collect()) == want and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert len(set(want) & set(bad)) <= 2 and model.prior is None
+    with pytest.warns(UserWarning, match="two classes"):
+        assert line_crf.keep_good(mixed, labels.where("quality = 1"), docs).count() == mixed.count()
+    assert line_crf.keep_good(docs.limit(0), labels, docs).count() == 0
+
+
 # ---- search
 
 

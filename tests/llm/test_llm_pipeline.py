@@ -4,7 +4,7 @@ import pytest
 
 import corpus_pipeline
 from siftwell.llm import queries as Q
-from siftwell.llm import simhash
+from siftwell.llm import line_crf, simhash
 from siftwell.llm.quality_rules import LineRules, judge
 
 SF = "/root/testdata/sf0.001"
@@ -22,6 +22,10 @@ def test_stages_in_order(spark, tmp_path):
     before, after = at["quality rules"]
     want = {r.doc_id: v[8] for r in before.collect() if (v := judge(r.text, LineRules()))[6]}
     assert {r.doc_id: r.text for r in after.collect()} == want
+    before, after = at["quality classifier"]
+    model = line_crf.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    assert model.prior is None
+    assert sorted(r.doc_id for r in after.collect()) == sorted(r.doc_id for r in before.collect() if model.scores([r.text])[0] >= 0.3)
     before, after = at["near-duplicates"]
     ids = {r.doc_id for r in after.collect()}
     groups = {r.doc_id: r.component_id for r in simhash.near_groups(before).collect()}

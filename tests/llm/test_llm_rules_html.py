@@ -50,6 +50,17 @@ def test_lines_fail_and_documents_go():
     assert Q.judge(bad + "\n" + LONG[:80] + ".", Q.LineRules())[6] is False
 
 
+@pytest.mark.parametrize("line", ["短い行です。", "ここ？", "छोटी पंक्ति।", "هل هذا صحيح؟", "कर ॥", "Կարճ տող։"])
+def test_short_lines_closed_in_any_script_stay(line):
+    assert not Q.line_fails(line, len(line.split()), Q.LineRules())
+
+
+def test_very_long_text():
+    text = "\n".join(f"Line {i} has words a{i} b{i} c{i} d{i} e{i} and ends well." for i in range(60_000))
+    n, *_, kept, lost, clean = Q.judge(text + "\nHome", Q.LineRules())
+    assert n == 60_000 * 12 + 1 and kept and lost == 1 and clean == text
+
+
 def test_clean_documents_shape_and_edges(spark):
     df = spark.createDataFrame([(1, LONG + "\nHome", "en", "s", 5, "x"), (None, LONG, None, None, None, None), (2, None, "en", "s", 0, "y"), (1, LONG + "\nHome", "en", "s", 5, "x")], DOCS)
     out = Q.clean_documents(df).collect()
