@@ -15,8 +15,9 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4, fitted on this stage's own documents: those scored below 0.3 go."""
-    return line_crf.keep_good(docs, table(spark, sf_dir, "labels"))
+    """Operator 4, fitted on the labelled source documents (the stage before has taken nearly all of one
+    class): those scored below 0.3 go."""
+    return line_crf.keep_good(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
