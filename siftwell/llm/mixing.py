@@ -87,6 +87,11 @@ def order_key(doc_id: Column, what: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(SEED), what, F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
 
 
+def part_of(key: Column, ranges: Column) -> Column:
+    """The range of the hash that a key falls into."""
+    return F.floor(F.conv(F.substring(key, 1, 6), 16, 10).cast("bigint") * ranges / (1 << 24))
+
+
 def plan(docs: DataFrame, max_repetition: float | None = MAX_REPETITION, target_entropy: float | None = None, budget: float | None = None, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
     """(placements, budgets): every copy of every document with its epoch and block; and one row a source."""
     slim, _ = materialize(
@@ -109,18 +114,19 @@ def plan(docs: DataFrame, max_repetition: float | None = MAX_REPETITION, target_
     budgets, _ = materialize(budgets, "budgets")
     copies = slim.join(budgets, "source").select("*", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("epoch"))
     copies = copies.withColumn("key", order_key(F.col("doc_id"), F.col("epoch")))
-    copies = copies.withColumn("part", F.floor(F.conv(F.substring("key", 1, 6), 16, 10).cast("bigint") * F.col("ranges") / (1 << 24)))
+    copies = copies.withColumn("part", part_of(F.col("key"), F.col("ranges")))
     sums = copies.groupBy("source", "epoch", "part").agg(F.sum("tokens").alias("n"))
     ahead = Window.partitionBy("source", "epoch").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most `ranges` rows
     bases = sums.select("source", "epoch", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
     inner = Window.partitionBy("source", "epoch", "part").orderBy("key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
         copies.withColumn("upto", F.sum("tokens").over(inner))
+        .withColumn("place", F.row_number().over(inner))
         .join(bases, ["source", "epoch", "part"])
         .withColumn("start", F.col("epoch") * F.col("source_tokens") + F.col("base") + F.col("upto") - F.col("tokens"))
         .where(F.col("start") < F.col("target"))
         .withColumn("block_id", F.floor(F.col("start") * F.col("blocks") / F.col("target")).cast("bigint"))
-        .select("doc_id", "source", "tokens", "epoch", "key", "block_id")
+        .select("doc_id", "source", "tokens", "epoch", "key", "part", "place", "block_id")
     )
     return placed, budgets
 
@@ -136,15 +142,37 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """The pipeline's form: each document as often as the mixture holds it, in the columns of ``documents``.
 
     Whole epochs take every document; the last, partial one takes those up to a cut in its permutation.
-    One cut a source says it all, so texts are never shuffled."""
+    One cut a source says it all, so texts are never shuffled - save those of rows that tie with the cut in
+    source, id and tokens when the mixture holds only some of them: they are counted off."""
     placed, budgets = plan(docs, **how)
+    least = F.lit(-(2**63))
+    row = lambda key: F.struct(key.alias("key"), F.coalesce(F.col("doc_id").cast("bigint"), least).alias("id"), F.col("tokens").alias("tokens"))
     last = placed.join(budgets.select("source", "epochs"), "source").where(F.col("epoch") == F.col("epochs") - 1)
-    cuts = last.groupBy("source").agg(F.max(F.struct("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))).alias("cut"))
-    per, _ = materialize(budgets.select("source", "epochs").join(cuts, "source", "left"), "cuts")
-    keyed = docs.withColumn("__s", F.coalesce(F.col("source").cast("string"), F.lit(""))).join(per.withColumnRenamed("source", "__s"), "__s")
-    own = F.struct(order_key(F.col("doc_id"), F.col("epochs") - 1).alias("key"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("id"))
-    n = F.col("epochs") - 1 + F.coalesce((own <= F.col("cut")).cast("int"), F.lit(0))
-    return keyed.select("doc_id", "text", "lang", "source", "n_chars", F.explode(F.array_repeat(F.lit(0), n)).alias("__copy")).drop("__copy")
+    top = F.max(F.struct(row(F.col("key")).alias("cut"), F.col("place"), F.col("part"))).alias("top")
+    cuts, _ = materialize(budgets.select("source", "epochs", "ranges").join(last.groupBy("source").agg(top), "source", "left").select("source", "epochs", "ranges", "top.*"), "cuts")
+    # Of the rows that equal the cut, the first ``taken`` are in: the last one placed stands at ``place`` of its part.
+    slim = docs.select(F.col("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), token_count(F.col("text").cast("string")).alias("tokens"))
+    at = slim.join(cuts, "source").withColumn("own", row(order_key(F.col("doc_id"), F.col("epochs") - 1)))
+    same_part = part_of(F.col("own.key"), F.col("ranges")) == F.col("part")
+    ties = at.groupBy("source").agg(F.sum((same_part & (F.col("own") < F.col("cut"))).cast("bigint")).alias("before"), F.sum((F.col("own") == F.col("cut")).cast("bigint")).alias("equal"))
+    per, _ = materialize(cuts.join(ties, "source", "left").withColumn("taken", F.col("place") - F.col("before")), "ties")
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    keyed = docs.select(*columns, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__s"), token_count(F.col("text").cast("string")).alias("tokens"))
+    keyed = keyed.join(per.withColumnRenamed("source", "__s"), "__s").withColumn("own", row(order_key(F.col("doc_id"), F.col("epochs") - 1)))
+    copies = lambda extra: F.explode(F.array_repeat(F.lit(0), (F.col("epochs") - 1 + extra).cast("int"))).alias("__copy")
+    split = F.coalesce((F.col("own") == F.col("cut")) & (F.col("taken") < F.col("equal")), F.lit(False))
+    out = keyed.where(~split).select(*columns, copies(F.coalesce((F.col("own") <= F.col("cut")).cast("int"), F.lit(0))))
+    if not per.where("taken < equal").isEmpty():
+        # Counted off per scan partition, then over the partitions, so that many equal rows are in no one task.
+        some = keyed.where(split).withColumn("__p", F.spark_partition_id())
+        some, _ = materialize(some.select(*columns, "__s", "__p", "epochs", "taken"), "tied")
+        sizes = some.groupBy("__s", "__p").agg(F.count("*").alias("n"))
+        ahead = Window.partitionBy("__s").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a scan partition
+        bases = sizes.select("__s", "__p", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+        order = Window.partitionBy("__s", "__p").orderBy(F.xxhash64(*columns))
+        counted = some.withColumn("__r", F.row_number().over(order)).join(bases, ["__s", "__p"])
+        out = out.unionByName(counted.select(*columns, copies((F.col("base") + F.col("__r") <= F.col("taken")).cast("int"))))
+    return out.drop("__copy")
 
 
 MIX_SQL = """

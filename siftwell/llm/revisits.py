@@ -15,7 +15,7 @@ The as-of join runs in two steps so that no URL is gathered in one task: inside
 a window carries the last response forward; across slices only the last response of each slice is
 carried on. Slim rows only: bodies stay where they are and are fetched by ``payload_id`` when wanted.
 
-Null URLs match nothing; null timestamps come before all others; responses of one URL and second are
+Null and empty URLs match nothing; null timestamps come before all others; responses of one URL and second are
 taken in order of record_id, and a revisit in the same second does not see them; header names are
 compared in lower case, the last of repeated ones counts; null headers are none. Repeated rows are
 resolved each on its own.
@@ -34,19 +34,23 @@ SLICE_SECONDS = 86_400
 
 
 def canonical_url(url: Column) -> Column:
-    """host[:port]/path[?query]: no scheme, user, www, default port, fragment, tracking parameters or
-    closing slash; the host in lower case, parameters in order."""
+    """host[:port]/path[?query]: no scheme, user, www, default port of the scheme, fragment, tracking
+    parameters or closing slash; the host in lower case, parameters in order. A URL without ``scheme://`` is
+    taken as it is; an empty one is null."""
     plain = F.regexp_replace(url, "#.*$", "")
+    scheme = F.lower(F.regexp_extract(plain, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     host = F.regexp_replace(F.lower(F.regexp_extract(plain, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?:]*)", 1)), "^www[0-9]*\\.", "")
     port = F.regexp_extract(plain, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*:([0-9]+)", 1)
+    usual = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
     path = F.regexp_replace(F.regexp_extract(plain, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1), "/+$", "")
     params = F.array_sort(F.filter(F.split(F.regexp_extract(plain, "\\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.rlike(TRACKING)))
-    return F.concat(
+    built = F.concat(
         host,
-        F.when(port.isin("", "80", "443"), "").otherwise(F.concat(F.lit(":"), port)),
+        F.when(usual, "").otherwise(F.concat(F.lit(":"), port)),
         path,
         F.when(F.size(params) > 0, F.concat(F.lit("?"), F.array_join(params, "&"))).otherwise(""),
     )
+    return F.nullif(F.when(scheme != "", built).otherwise(url), F.lit(""))
 
 
 def lower_names(headers: Column) -> Column:
@@ -81,13 +85,15 @@ def resolve(captures: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFram
     is_full = F.col("kind") == "response"
     full = F.struct("ts", "record_id", "payload_id", "payload_digest", "headers")
     inside = Window.partitionBy("canonical_url", "slice").orderBy(F.col("ts").asc_nulls_first(), F.when(is_full, 1).otherwise(0), "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.withColumn("here", F.last(F.when(is_full, full), ignorenulls=True).over(inside))
-    ends = rows.where(is_full & F.col("canonical_url").isNotNull()).groupBy("canonical_url", "slice").agg(F.max_by(full, F.struct("ts", "record_id")).alias("end"))
+    known = F.col("canonical_url").isNotNull()
+    # Rows without a URL match nothing: they go round the window, which would put them into one task.
+    local = rows.where(known).withColumn("here", F.last(F.when(is_full, full), ignorenulls=True).over(inside))
+    ends = rows.where(is_full & known).groupBy("canonical_url", "slice").agg(F.max_by(full, F.struct("ts", "record_id")).alias("end"))
     # Slices that have revisits but no response need the carried one too.
-    asked = rows.where(F.col("canonical_url").isNotNull()).select("canonical_url", "slice").distinct().join(ends, ["canonical_url", "slice"], "left")
+    asked = rows.where(known).select("canonical_url", "slice").distinct().join(ends, ["canonical_url", "slice"], "left")
     before = Window.partitionBy("canonical_url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = asked.select("canonical_url", "slice", F.last("end", ignorenulls=True).over(before).alias("carried"))
-    both = local.join(carried, ["canonical_url", "slice"], "left").withColumn("found", F.when(F.col("canonical_url").isNotNull(), F.coalesce("here", "carried")))
+    both = local.join(carried, ["canonical_url", "slice"], "left").withColumn("found", F.coalesce("here", "carried")).unionByName(rows.where(~known), allowMissingColumns=True)
     tag = lambda h: F.regexp_replace(F.element_at(h, "etag"), "^W/", "")
     own, kept = F.col("headers"), F.col("found.headers")
     outcome = (

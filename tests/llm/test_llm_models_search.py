@@ -273,6 +273,17 @@ def test_mixture(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mix_documents(df.limit(0)).count() == 0
 
 
+def test_ties_at_the_cut_are_counted_off(spark):
+    """Rows of one id and size, or without an id, come as often as the mixture without texts holds them."""
+    rows = [(None, f"a b c{i % 2}", "en", "small", i, 1, 1) for i in range(9)] + [(7, "x y", "en", "small", 0, 1, 1)] * 4
+    rows += [(100 + i, "w " * 5, "en", "big", 0, 1, 1) for i in range(60)] + [(50 + i, "u v", "de", "mid", 0, 1, 1) for i in range(12)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    for how in ({"max_repetition": 2.0}, {"max_repetition": 3.0}, {"budget": 700.0}, {"budget": 55.0}):
+        want = {(str(r.doc_id), r.source): r["count"] for r in mixing.mix(df, **how).groupBy("doc_id", "source").count().collect()}
+        got = {(str(r.doc_id), r.source): r["count"] for r in mixing.mix_documents(df, **how).groupBy("doc_id", "source").count().collect()}
+        assert got == want, how
+
+
 # ---- revisits
 
 CAPTURES = "record_id bigint, url string, ts bigint, kind string, headers map<string,string>, payload_id bigint, payload_digest string"
@@ -298,6 +309,27 @@ def test_revisit_cases(spark):
     assert revisits.resolve(spark.createDataFrame([], CAPTURES)).count() == 0
 
 
+def test_urls_without_scheme_ports_repeats_and_ties(spark):
+    rows = [
+        (1, "example.com/a", 10, "response", {"etag": "a"}, 1, "p1"),
+        (2, "other.org/b", 20, "revisit", {}, None, None),
+        (3, "other.org/b", 5, "response", {}, 3, "p3"),
+        (4, "", 5, "response", {}, 4, "p4"),
+        (5, "", 50, "revisit", {}, None, None),
+        (6, "http://h.org:443/x", 5, "response", {}, 6, "p6"),
+        (7, "https://h.org:443/x", 50, "revisit", {}, None, None),
+        (8, "http://h.org:80/y", 5, "response", {}, 8, "p8"),
+        (9, "http://h.org/y", 5, "response", {}, 9, "p9"),
+        (10, "http://h.org/y", 5, "revisit", {}, None, None),
+        (11, "http://h.org/y", 6, "revisit", {}, None, None),
+        (11, "http://h.org/y", 6, "revisit", {}, None, None),
+    ]
+    out = revisits.resolve(spark.createDataFrame(rows, CAPTURES).withColumn("slice", F.lit("x")).withColumn("here", F.lit(1))).collect()
+    assert len(out) == 12 and sum(r.record_id == 11 and r.response_id == 9 for r in out) == 2
+    got = {r.record_id: (r.outcome, r.response_id) for r in out}
+    assert got[2] == ("unchecked", 3) and got[5] == ("no_earlier_response", None) and got[7] == ("no_earlier_response", None) and got[10] == ("no_earlier_response", None)
+
+
 def test_slices_do_not_matter(spark):
     caps = revisits.captures_of(table(spark, "/root/testdata/sf0.001", "pages"))
     a = {tuple(map(str, r)) for r in revisits.resolve(caps, 86_400).collect()}
