@@ -235,6 +235,45 @@ def test_search_table(spark):
     assert len(got) == 15 and C.top_k(df.limit(0)).count() == 0
 
 
+def brute(rows, k=5, every=50):
+    v = {i: [int(np.floor(256 * float(c))) for c in x] for i, x in rows}
+    out = {}
+    for i in v:
+        if i % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(v[i], v[j])), j) for j in v if j != i)[:k]
+            out |= {(i, r + 1): (j, -s) for r, (s, j) in enumerate(best)}
+    return out
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e3, 3e5, 8e5])
+def test_large_components_are_exact(spark, scale):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=6) * scale]) for i in range(130)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in C.top_k(df, block_rows=40, group_rows=2).collect()} == brute(rows)
+
+
+def test_what_top_k_refuses(spark):
+    schema = "vec_id bigint, embedding array<double>"
+    with pytest.raises(ValueError, match="lengths"):
+        C.top_k(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], schema))
+    with pytest.raises(OverflowError):
+        C.top_k(spark.createDataFrame([(0, [1e9, 1.0]), (1, [1.0, 2.0])], schema))
+    assert C.top_k(spark.createDataFrame([(1, [1.0])], schema)).count() == 0
+
+
+def test_far_cells_are_not_sent(spark, monkeypatch):
+    """Clusters on the axes: every query finds its best near by, so cells of other clusters are pruned before the shuffle."""
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in 50 * np.eye(8)[i % 8] + rng.normal(size=8) * 0.1]) for i in range(1600)] + [(1600 + i, [0.0] * 7 + [50.0]) for i in range(3)]
+    rows += [(50, rows[50][1])] * 40  # a row that repeats counts once
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    sent, make = [], spark.createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, schema=None, **k: (sent.append(len(data)) if schema == "g int, cell int" else None, make(data, schema, **k))[1])
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in C.top_k(df, block_rows=40, group_rows=1).collect()}
+    assert got == brute(rows[:1603]) and 0 < sent[0] < 0.6 * 33 * 42
+
+
 # ---- mixing
 
 
