@@ -113,3 +113,76 @@ def test_long_and_broken_pages_end():
     assert H.extract("<div>" * 5000 + "x") in ("x", "")
     assert H.extract("<p " * 2000) == ""
     assert len(H.extract("<article>" + f"<p>{ARTICLE}</p>" * 5000)) == 5000 * len(ARTICLE) + 2 * 4999
+
+
+SECOND = "On the far side of the river there was a mill, and the miller was the man who knew all that had been said of it in the town."
+THIRD = "In the spring of that year the water had been so high that it came up to the door of the mill and to the steps of the church."
+LINKS = "<ul>" + "".join(f"<li><a href='/{i}'>Section {i}</a></li>" for i in range(8)) + "</ul>"
+RUSSIAN = "Река поднялась высоко, и лодки в гавани стояли у стены всю ночь, как велел обычай города, а утром рыбаки снова ушли в открытое море за уловом."
+CHINESE = "河水涨得很高，港口里的船整夜都停在墙边，这是镇上的老规矩。早晨渔民们又出海打鱼去了，直到太阳落山才回来，船上装满了鱼。" * 3
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        # end tags that may be missing
+        (f"<html><head><title>t</title><meta charset=x><body><p>{ARTICLE}", ARTICLE),
+        (f"<html><head><style>p{{}}</style><script>'<div>'</script><title>t</title><p>{ARTICLE}<p>{SECOND}</html>", f"{ARTICLE}\n\n{SECOND}"),
+        (f"<head><link rel=a>words of the head<body><p>{ARTICLE}", ARTICLE),
+        (f"<article><p>{ARTICLE}<p>{SECOND}</article>", f"{ARTICLE}\n\n{SECOND}"),
+        (f"<main><ul><li>{ARTICLE}<li><b>{SECOND}<li>{THIRD}</ul></main>", f"{ARTICLE}\n\n{SECOND}\n\n{THIRD}"),
+        (f"<article><dl><dt>The mill<dd>{ARTICLE}<dt>The town<dd>{SECOND}</dl></article>", f"The mill\n\n{ARTICLE}\n\nThe town\n\n{SECOND}"),
+        (f"<article><table><tr><td>{ARTICLE}<td>{SECOND}<tr><td>{THIRD}</table></article>", f"{ARTICLE}\n\n{SECOND}\n\n{THIRD}"),
+        # controls and silent elements without an end tag
+        (f"<article><button>Buy<p>{ARTICLE}</p></article>", ARTICLE),
+        (f"<article><button>Buy<p>{ARTICLE}</p><button>Go</button><p>{SECOND}</p></article>", f"{ARTICLE}\n\n{SECOND}"),
+        (f"<article><select><option>a<option>b<p>{ARTICLE}</p></article>", f"{ARTICLE}"),
+        (f"<article><object data=x><p>{ARTICLE}</p></article>", ARTICLE),
+        (f"<article><p>{ARTICLE}</p><script>var a = '<p>no</p>'", ARTICLE),
+        (f"<article><p>{ARTICLE}</p><noscript><p>{SECOND}</p></noscript><svg><text>x</text></svg></article>", ARTICLE),
+        (f"<article><p>{ARTICLE}</p><select><option>{SECOND}</option></select><textarea>{THIRD}</textarea></article>", ARTICLE),
+        # names on articles, wrappers and inline elements
+        (f"<article><p>{ARTICLE}</p></article><article class='comment'><p>{SECOND}</p></article>", ARTICLE),
+        (f"<main><p>{ARTICLE}</p><section id='comments'><article><p>{SECOND}</p></article></section></main>", ARTICLE),
+        (f"<div class='layout no-sidebar'><p>{ARTICLE}</p></div>", ARTICLE),
+        (f"<div class='page-with-sidebar'><article class='post has-comments'><p>{ARTICLE}</p></article><div class='sidebar-left'><p>{SECOND}</p></div></div>", ARTICLE),
+        (f"<div id='search-page'><div class='form'><p>{ARTICLE}</p></div></div>", ARTICLE),
+        (f"<div class='menu'><p>{ARTICLE}</p></div>", ARTICLE),
+        (f"<article><p>{ARTICLE} <span class='advert'>Buy now</span> {SECOND}</p></article>", f"{ARTICLE} {SECOND}"),
+        (f"<article><p>{ARTICLE}</p><p hidden>{SECOND}</p><p style='display: none'>{THIRD}</p><p aria-hidden='true'>x</p></article>", ARTICLE),
+        (f"<article><p>{ARTICLE}</p><div role='complementary'><p>{SECOND}</p></div></article>", ARTICLE),
+        # headers and footers of an article
+        (f"<article><header class='entry-header'><h1>Boats</h1><p>By Ann, 3 May</p></header><p>{ARTICLE}</p><footer>Filed under boats</footer></article>", f"Boats\n\n{ARTICLE}"),
+        (f"<article><header><h1>Boats <em>and</em> mills</h1><span>Ann</span></header><p>{ARTICLE}</p></article>", f"Boats and mills\n\n{ARTICLE}"),
+        (f"<header><h1>The Town Paper</h1></header><article><h1>Boats</h1><p>{ARTICLE}</p></article>", f"Boats\n\n{ARTICLE}"),
+        # text outside articles and main elements
+        (f"<main><p>{ARTICLE}</p><p>{SECOND}</p></main><div><p>{THIRD}</p></div>", f"{ARTICLE}\n\n{SECOND}"),
+        (f"<main><p>Welcome.</p></main><div><p>{ARTICLE}</p><p>{SECOND}</p><p>{THIRD}</p></div>", f"Welcome.\n\n{ARTICLE}\n\n{SECOND}\n\n{THIRD}"),
+        (f"<main>{LINKS}</main><div><p>{ARTICLE}</p><p>{SECOND}</p></div>", f"{ARTICLE}\n\n{SECOND}"),
+        # block rules without any element that tells
+        (f"<div>{LINKS}</div><div><p>{ARTICLE}</p><p>Short.</p><p>{SECOND}</p></div><div>{LINKS}</div>", f"{ARTICLE}\n\nShort.\n\n{SECOND}"),
+        (f"<div>{LINKS}</div><div><p>{RUSSIAN}</p><p>{RUSSIAN}</p></div>", f"{RUSSIAN}\n\n{RUSSIAN}"),
+        (f"<div><p>{CHINESE}</p></div>", CHINESE),
+        # broken and unusual markup
+        (f"<article><p title=\"a > b\">{ARTICLE}</p><p title='x>{SECOND}</p></article>", f"{ARTICLE}\n\n{SECOND}"),
+        (f"<article><b><p>{ARTICLE}</p></b><p>{SECOND}</b></p></article><nav>{THIRD}</nav>", f"{ARTICLE}\n\n{SECOND}"),
+        (f"<article><p>{ARTICLE}</p></div></span><p>{SECOND}</p></article>", f"{ARTICLE}\n\n{SECOND}"),
+        (f"<ARTICLE><P>{ARTICLE}</P><NAV>{SECOND}</NAV></ARTICLE>", ARTICLE),
+        ("<article><p>5 &lt; 6 &amp;&amp; x &#233;&#x20AC; 3 < 4 <b>caf&eacute;</b>s</p></article>", "5 < 6 && x é€ 3 < 4 cafés"),
+        (f"<article><p>{ARTICLE}</p><![CDATA[inside]]><!-- no --><?php no ?></article>", f"{ARTICLE}\n\ninside"),
+        (f"<article><p>one<br>two<br/>three</p><hr><p>{ARTICLE}</p></article>", f"one two three\n\n{ARTICLE}"),
+    ],
+)
+def test_golden_pages(html, want):
+    assert H.extract(html) == want
+
+
+def test_deep_pages_keep_their_text_and_take_linear_time():
+    import time
+
+    deep = "<div>" * 300_000 + f"<p>{ARTICLE}</p>" + "</b>" * 100_000 + f"<p>{SECOND}</p>" + "</div>" * 300_000
+    at = time.time()
+    assert H.extract(deep) == f"{ARTICLE}\n\n{SECOND}"
+    assert H.extract("<i>" * 200_000 + "</b>" * 200_000 + "<button>" * 2000 + f"<p>{ARTICLE}") == ARTICLE
+    assert H.extract('<p a="' * 20_000 + f"<p>{ARTICLE}").endswith(ARTICLE)
+    assert time.time() - at < 60
