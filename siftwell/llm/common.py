@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARROW_ROWS = 1024
+_scopes: list[list[str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -30,10 +32,25 @@ def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     executor costs a re-read. Returns the table and its path (see :func:`discard`)."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/siftwell/{tag}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes the scratch tables written inside, save those whose paths are put into the list it gives."""
+    keep: list[str] = []
+    _scopes.append([])
+    try:
+        yield keep
+    finally:
+        discard(spark, *(p for p in _scopes.pop() if p not in keep))
+        if _scopes:
+            _scopes[-1].extend(keep)
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that nothing will read again."""
     jvm = spark.sparkContext._jvm

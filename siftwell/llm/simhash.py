@@ -12,16 +12,19 @@ Search, over the distinct fingerprints only:
    programming on the estimated number of rows that its probes make. The estimates use counts over all
    fingerprints (bit marginals; exact self-join sizes at T_i = 0). m itself is picked the same way.
    Generalised pigeonhole: any linking pair agrees within T_i in some partition i;
-3. every fingerprint is stored under its value of each partition in use and probes all values within
-   T_i of its own; colliding pairs are verified on all 64 bits.
-
-A partition value held by more than ``hot_bucket`` fingerprints is never paired up. Its members take
-the exact way around: each emits itself and its 64 one-bit neighbours, and members that meet in such a
-ball (distance <= 2, and only those) are tied to the smallest of the meeting. That costs 65 rows a
-member, whatever the size of the bucket, and loses no connection. It replaces only pairs inside the
-bucket; probes that reach a hot bucket from elsewhere (T_i = 1) go the same way.
-
-Components are found by alternating large-star and small-star steps on tables in the shared folder.
+3. every fingerprint is stored under its own value of each partition in use and probes all values within
+   T_i of it; a probe meets what is stored there, never another probe, and of two fingerprints that would
+   find each other only the larger one's probe counts. What meets is verified on all 64 bits. The costs of
+   step 2 are those of this search: a row for each store and probe, a check for each meeting.
+
+A bucket that stores more than ``hot_bucket`` fingerprints, or is probed by more than ``HOT_PROBES`` times as
+many, is never paired up. Its stored and probing members take the exact way around: each emits itself and its
+64 one-bit neighbours, and members that meet in such a ball (distance <= 2, and only those) are tied to the
+smallest of the meeting. That costs 65 rows a member, whatever the size of the bucket, and loses no connection.
+
+Components are found by alternating large-star and small-star steps on tables in the shared folder. The root
+of a giant component, or a very frequent fingerprint, is one join key with many rows on one side: adaptive
+execution splits that side (spark.sql.adaptive.skewJoin), the other has a row a key.
 Null and empty texts have fingerprint zero and link like others; rows with a null doc_id take part and
 a component of none but null ids has a null id; repeated rows come back as often as they came in.
 """
@@ -38,11 +41,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import discard, materialize, slices, texts
+from siftwell.llm.common import discard, materialize, slices, temporary, texts
 
 BITS = 64
 SEED = 42
 RADIUS = 2
+HOT_PROBES = 16
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -133,7 +137,7 @@ def signed(x: int) -> int:
 
 
 def expected_pairs(total: int, gram: np.ndarray, bits: list[int], most: int, exact: float) -> list[float]:
-    """Estimated colliding pairs of a partition at T = 0..most: the exact count at 0, then scaled by
+    """Estimated meetings of stores and probes (each pair once) of a partition at T = 0..most: the exact count at 0, then scaled by
     the chance of t mismatches to none when bits differ as often as their marginals say."""
     p = np.diag(gram)[bits] / max(total, 1)
     differ = 2 * p * (1 - p)
@@ -188,43 +192,37 @@ def near_masks(bits: list[int], most: int) -> list[int]:
 
 
 def probe_keys(k: int, bits: list[int], most: int) -> Column:
-    """array<struct<k, v>>: the values of partition k within ``most`` bits of the fingerprint's own."""
+    """array<struct<k, v, own>>: the values of partition k within ``most`` bits of the fingerprint's own."""
     own = value_of("fp", bits)
     masks = F.array(*[F.lit(x).cast("bigint") for x in near_masks(bits, most)])
-    return F.transform(masks, lambda x: F.struct(F.lit(k).alias("k"), own.bitwiseXOR(x).alias("v")))
+    return F.transform(masks, lambda x: F.struct(F.lit(k).alias("k"), own.bitwiseXOR(x).alias("v"), (x == 0).alias("own")))
 
 
 def links(fps: DataFrame, radius: int = RADIUS, hot_bucket: int = 128) -> DataFrame:
     """(u, v), u < v: links between distinct fingerprints whose closure is that of all links.
 
-    ``fps``: one row per distinct fingerprint. A bucket of up to ``hot_bucket`` members is verified pair
-    by pair, straight from its gathered array; larger ones take the 65-row star (radius 2 only)."""
+    ``fps``: one row per distinct fingerprint. A bucket of bounded size is verified straight from its gathered
+    arrays; larger ones take the 65-row star (radius 2 only)."""
     if radius != 2:
         raise ValueError("the way around hot buckets needs a radius of 2")
     plan, total = plan_search(fps, radius)
     if total < 2:
         return fps.select(F.col("fp").alias("u"), F.col("fp").alias("v")).where(F.lit(False))
     keys = [probe_keys(k, bits, most) for k, (bits, most) in enumerate(plan)]
-    probes = fps.select("fp", F.explode(F.concat(*keys)).alias("s")).select("fp", "s.k", "s.v")
+    probes = fps.select("fp", F.explode(F.concat(*keys)).alias("s")).select("fp", "s.k", "s.v", "s.own")
     # Bucket sizes first (partial sums), so that a hot bucket is known before anything is gathered.
-    sizes = probes.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
-    hot, hot_path = materialize(sizes.where(F.col("n") > hot_bucket).select("k", "v"), "hot")
+    sizes = probes.groupBy("k", "v").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("bigint")).alias("held"))
+    is_hot = (F.col("held") > hot_bucket) | ((F.col("held") > 0) & (F.col("n") - F.col("held") > HOT_PROBES * hot_bucket))
+    hot, _ = materialize(sizes.where(is_hot).select("k", "v"), "hot")
     cold = probes.join(hot, ["k", "v"], "left_anti")
-    packed = cold.groupBy("k", "v").agg(F.sort_array(F.collect_list("fp")).alias("m")).where(F.size("m") > 1)
-    # Verified inside the array: only links leave the row, never all pairs.
-    pairs = packed.select(
-        F.explode(
-            F.flatten(
-                F.transform(
-                    "m",
-                    lambda a, i: F.transform(
-                        F.filter(F.slice(F.col("m"), i + 2, F.size("m")), lambda b: F.bit_count(a.bitwiseXOR(b)) <= radius),
-                        lambda b: F.struct(a.alias("u"), b.alias("v")),
-                    ),
-                )
-            )
-        ).alias("e")
-    ).select("e.u", "e.v")
+    packed = cold.groupBy("k", "v").agg(F.sort_array(F.collect_list(F.when(F.col("own"), F.col("fp")))).alias("m"), F.collect_list(F.when(~F.col("own"), F.col("fp"))).alias("p"))
+    packed = packed.where((F.size("m") > 0) & (F.size("m") + F.size("p") > 1))
+    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= radius
+    pair = lambda a, b: F.struct(a.alias("u"), b.alias("v"))
+    # Verified inside the row: only links leave it, never all pairs.
+    stored = F.transform("m", lambda a, i: F.transform(F.filter(F.slice(F.col("m"), i + 2, F.size("m")), lambda b: near(a, b)), lambda b: pair(a, b)))
+    probed = F.transform("m", lambda a: F.transform(F.filter(F.col("p"), lambda b: (b > a) & near(a, b)), lambda b: pair(a, b)))
+    pairs = packed.select(F.explode(F.concat(F.flatten(stored), F.flatten(probed))).alias("e")).select("e.u", "e.v")
     members = probes.join(hot, ["k", "v"], "left_semi").select("fp").distinct()
     flips = F.array(F.lit(0).cast("bigint"), *[F.lit(signed(1 << b)).cast("bigint") for b in range(BITS)])
     balls = members.select("fp", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("mid"))
@@ -263,6 +261,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, root, component_id) of the fingerprints of ``prints``: root, a fingerprint, names the group, and
     component_id is its least doc_id (null where no row of it has one)."""
+    with temporary(prints.sparkSession) as keep:
+        out, path = _classes(prints, radius)
+        keep.append(path)
+    return out
+
+
+def _classes(prints: DataFrame, radius: int) -> tuple[DataFrame, str]:
     first, _ = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     forest, _ = materialize(components(links(first.select("fp"), radius)), "forest")
     # Roots are members too; a component's id is the least doc_id of all its fingerprints.
@@ -271,7 +276,7 @@ def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = known.join(ids, "root").select("fp", "root", "component_id")
     final = first.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
-    return materialize(final, "classes")[0]
+    return materialize(final, "classes")
 
 
 def near_groups(docs: DataFrame, text: str = "text", radius: int = RADIUS, width: int = 3) -> DataFrame:
