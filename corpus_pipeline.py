@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm import line_crf, mixing, packing, quality_rules, simhash
-from siftwell.llm.common import materialize, table
+from siftwell.llm.common import discard, materialize, table, temporary
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's scratch tables, and its predecessor's rows, go once it is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs, _ = materialize(stage(spark, docs, sf_dir), f"stage{k}")
+        with temporary(spark) as keep:
+            docs, path = materialize(stage(spark, docs, sf_dir), f"stage{k}")
+            keep.append(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
