@@ -397,8 +397,7 @@ SELECT query_id, 'polite_noise', '{perturb.POLITE_PREFIX}' || query_text FROM qu
 SELECT query_id, 'topic_distractor', query_text || '{perturb.DISTRACTOR}' FROM queries UNION ALL
 SELECT query_id, 'mask_entities', regexp_replace(regexp_replace(query_text, '<(?:MONEY|DATE|PHONE|URL|ID)>', '<ENTITY>', 'g'), '[0-9]+(?:[.,][0-9]+)?', '<NUMBER>', 'g') FROM queries"""
 query("variants_static", S.sql(_VARIANTS, "queries"))(lambda x: perturb.variants(x.queries, perturb.STATIC))
-_LATIN = perturb.Perturber(word=r"\w{5,}")
-query("variants_typo")(lambda x: perturb.variants(x.queries, perturb.RANDOM, _LATIN))
+query("variants_typo", S.sql(S.variants_sql(), "queries"))(lambda x: perturb.variants(x.queries, perturb.RANDOM))
 
 
 def _variant_scores(x: Lab) -> DataFrame:

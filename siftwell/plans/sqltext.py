@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from siftwell.functions import perturb
 from siftwell.functions.text import STOP_WORDS
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -27,6 +28,31 @@ def ranked(table: str, by: str = "query_id") -> str:
     return f"SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY round(score, 6) DESC, article_id) - 1 AS rank FROM {table}"
 
 
+def _edited(source: str, seed: int = 42) -> str:
+    """(query_id, variant, t) of ``source`` (query_id, variant, n, edit, t) after its edit."""
+    letters, hit = perturb.slips()
+    chance = lambda what: f"('0x' || substr(md5('{seed}:' || query_id || ':' || variant || ':' || n || ':{what}'), 1, 8))::BIGINT"
+    return f"""SELECT query_id, variant, CASE WHEN pick IS NULL THEN t WHEN edit = 'drop' THEN array_to_string(list_concat(p[:pick], p[pick + 2:]), ' ')
+  ELSE array_to_string(list_concat(list_concat(p[:pick], [CASE edit
+    WHEN 'delete' THEN substr(w, 1, spot) || substr(w, spot + 2)
+    WHEN 'slip' THEN substr(w, 1, spot) || translate(substr(w, spot + 1, 1), '{letters}', '{hit}') || substr(w, spot + 2)
+    ELSE substr(w, 1, least(spot, len(w) - 2)) || substr(w, least(spot, len(w) - 2) + 2, 1) || substr(w, least(spot, len(w) - 2) + 1, 1) || substr(w, least(spot, len(w) - 2) + 3) END]), p[pick + 2:]), ' ') END AS t
+FROM (SELECT *, p[pick + 1] AS w, ({chance('place')}) % (len(p[pick + 1]) - 1) + 1 AS spot
+  FROM (SELECT *, CASE WHEN len(el) > 0 THEN el[({chance('word')}) % len(el) + 1] END AS pick
+    FROM (SELECT *, list_filter(range(len(p)), lambda i: regexp_full_match(p[i + 1], '\\p{{L}}{{5,}}') AND NOT list_contains([{_STOP}], lower(p[i + 1]))) AS el
+      FROM (SELECT *, string_split(t, ' ') AS p FROM {source}))))"""
+
+
+def variants_sql() -> str:
+    """The variants that take chance, each edit one step."""
+    once = ", ".join(f"('{k}', '{e[0]}')" for k, e in perturb.EDITS.items())
+    first = _edited(f"(SELECT query_id, variant, 0 AS n, edit, coalesce(query_text, '') AS t FROM queries, (VALUES {once}) v(variant, edit))")
+    second = _edited("(SELECT query_id, variant, 1 AS n, 'slip' AS edit, t FROM first_edit WHERE variant = 'typo_two')")
+    return f"""SELECT query_id, variant, t AS query_text FROM ({first}) WHERE variant <> 'typo_two'
+UNION ALL SELECT query_id, variant, t FROM ({second.replace('first_edit', f'({first})')})
+UNION ALL SELECT query_id, 'case_punct', '!!! ' || array_to_string(list_transform(string_split(coalesce(query_text, ''), ''), lambda c: CASE WHEN c = 'ß' THEN c WHEN upper(c) <> c THEN upper(c) ELSE lower(c) END), '') || ' ???' FROM queries"""
+
+
 def _grams(source: str, key: str, out: str) -> str:
     return f"""SELECT {key}, gram, sum(w) AS cnt FROM (
   SELECT {key}, substr(' ' || word || ' ', i, n) AS gram, w FROM {source}, (VALUES (3), (4), (5)) v(n), LATERAL (SELECT unnest(range(1, len(word) + 4 - n)) AS i) x) GROUP BY ALL"""

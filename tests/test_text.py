@@ -81,6 +81,37 @@ def test_variants_are_deterministic(spark):
     assert a[2, "typo_two"] == "" and a[1, "case_punct"].startswith("!!! дОБРЫЙ")
 
 
+def test_random_variants_change_one_content_word(spark):
+    texts = ["the small harbour was full of fishing boats", "прекрасная погода на выходных", "a b 12 <URL>", "", "ßßßßß Straße", "harbour"]
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 20)], "query_id bigint, query_text string")
+    seen = set()
+    for r in perturb.variants(q, perturb.RANDOM).collect():
+        old, new = texts[r.query_id % len(texts)], r.query_text
+        a, b = old.split(" "), new.split(" ")
+        if r.variant == "case_punct":
+            assert new[4:-4].lower() == old.lower()
+            continue
+        content = [w for w in a if len(w) >= 5 and w.isalpha() and w not in T.STOP_WORDS]
+        if not content:
+            assert new == old
+            continue
+        if r.variant == "drop_content":
+            assert [w for w in content if a.count(w) > b.count(w)] and len(b) == max(1, len(a) - 1)
+            continue
+        changed = [(x, y) for x, y in zip(a, b) if x != y]
+        assert len(a) == len(b) and len(changed) <= (2 if r.variant == "typo_two" else 1)
+        for x, y in changed:
+            seen.add(r.variant)
+            assert x in content and x[0] == y[0]
+            if r.variant == "typo_delete":
+                assert len(y) == len(x) - 1
+            elif r.variant == "typo_swap":
+                assert sorted(x) == sorted(y)
+            elif r.variant == "typo_keyboard":
+                assert len(x) == len(y) and sum(c != d for c, d in zip(x, y)) == 1
+    assert seen == {"typo_delete", "typo_swap", "typo_keyboard", "typo_two"}
+
+
 def test_containment_labels(spark):
     docs = spark.createDataFrame([(1, "x one two three four five y"), (2, "one two three four"), (3, "axone two three four fiveb"), (4, None), (5, "")], "doc_id bigint, text string")
     passages = spark.createDataFrame([(7, "one two three four five"), (8, "two three"), (9, None), (10, "")], "item_id bigint, text string")
