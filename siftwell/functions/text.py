@@ -82,11 +82,13 @@ def tokens(text: Column | str, letters: str = ALL_LETTERS, min_length: int = 2,
     """Filtered tokens: word characters and hyphens only, ``min_length`` at least, no stop words. ``lemma``
     is a map column word -> lemma, applied before the stop words as the last filter repeats the length test."""
     base = substitute_placeholders(text, placeholders) if placeholders else _col(text)
-    words = F.filter(raw_tokens(base, letters), lambda w: (F.length(w) >= min_length) & w.rlike(r"(?U)^[\w\-]+$"))
+    words = raw_tokens(base, letters)
+    if letters not in (BASIC_LETTERS, ALL_LETTERS):  # words of these consist of word characters and hyphens anyway
+        words = F.filter(words, lambda w: w.rlike(r"(?U)^[\w\-]+$"))
     if lemma is not None:
-        words = F.transform(words, lambda w: F.coalesce(F.element_at(lemma, w), w))
-    stop = F.array(*[F.lit(w) for w in stop_words]) if stop_words else F.array().cast("array<string>")
-    return F.filter(words, lambda w: (F.length(w) >= min_length) & ~F.array_contains(stop, w))
+        words = F.transform(F.filter(words, lambda w: F.length(w) >= min_length), lambda w: F.coalesce(F.element_at(lemma, w), w))
+    # isin over many literals is a hash set
+    return F.filter(words, lambda w: (F.length(w) >= min_length) & ~w.isin(*stop_words) if stop_words else F.length(w) >= min_length)
 
 
 def blank_words(text: Column | str) -> Column:

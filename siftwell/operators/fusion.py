@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.operators import metrics, rank
+from siftwell.operators.graph import ensure_checkpoints
 
 
 def tag(sources: Mapping[str, DataFrame]) -> DataFrame:
@@ -22,7 +23,10 @@ def tag(sources: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def normalised(sources: Mapping[str, DataFrame], n_articles: int | None = None) -> DataFrame:
-    return rank.minmax(tag(sources), n_articles, by=("source", "query_id"))
+    """Min-max per source and query. Scores are read twice (statistics, then rows), so they are written first."""
+    rows = tag(sources)
+    ensure_checkpoints(rows.sparkSession)
+    return rank.minmax(rows.checkpoint(), n_articles, by=("source", "query_id"))
 
 
 def weighted_sum(sources: Mapping[str, DataFrame], weights: Mapping[str, float], n_articles: int | None = None, normalise: bool = True) -> DataFrame:

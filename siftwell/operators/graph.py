@@ -78,9 +78,12 @@ def graph_features(reranked: DataFrame, labels: DataFrame, links: DataFrame, vec
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """The cluster's ``spark.checkpoint.dir`` counts; a temporary folder only where none is set, as in tests."""
+    """The cluster's ``spark.checkpoint.dir`` counts. Where none is set, a temporary folder serves a local
+    master; on a cluster, whose executors could not read it, that is refused."""
     if not spark.sparkContext.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="siftwell-"))
 
 

@@ -1,26 +1,29 @@
 """Lexical retrieval: BM25 with a title boost and character n-gram cosine, over postings tables.
 
-An index is a table (term, article_id, weight), to be written once bucketed or partitioned by term and
-joined by the terms of the queries. The ``*_for`` forms build only what given queries need: terms that no
-query has leave before any shuffle.
+An index is a table (term, article_id, weight), to be written once partitioned by term and joined by the
+terms of the queries (:func:`siftwell.sources.sinks.save_index`); one-shot scoring builds only what given
+queries need. n-grams are counted inside an article's own row, so postings are never shuffled to be counted:
+they travel as 64-bit hashes, on Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
+from siftwell.operators.graph import ensure_checkpoints
+from siftwell.operators.rank import few
 
 Tokenize = Callable[[str], Column]
 BROADCAST_TERMS = 500_000
-
-
-def few(df: DataFrame, most: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most`` rows; a shuffled join serves otherwise."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+BROADCAST_GRAMS = 2_000_000
+PIECE = 1 << 20  # characters whose n-grams are counted at once
+_MIX = 0x9E3779B97F4A7C15
 
 
 def query_terms(queries: DataFrame, tokenize: Tokenize = T.tokens) -> DataFrame:
@@ -51,6 +54,8 @@ def bm25_postings(corpus: DataFrame, k1: float = 1.5, b: float = 0.75, title_wei
     totals = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).select("n", F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0).alias("avgdl"))
     tf = weighted_terms(corpus, title_weight, tokenize, wanted)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    if wanted is not None:
+        df = few(df, BROADCAST_TERMS)  # a word that every article has would put its postings into one task
     full = tf.join(df, "term").join(dl, "article_id").crossJoin(F.broadcast(totals))  # totals is one row
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = 1 - b + b * F.col("dl") / F.col("avgdl")
@@ -82,28 +87,109 @@ def gram_counts(texts: DataFrame, parts: list[tuple[str, float]], keys: list[str
     return grams.groupBy(*keys, "gram").agg(F.sum("w").alias("cnt"))
 
 
-def chargram_index(corpus: DataFrame, low: int = 3, high: int = 5, min_df: int = 2, sublinear: bool = True, title_weight: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """(postings (gram, article_id, weight), idf (gram, df, idf)); rows have unit length over the vocabulary."""
-    counts = gram_counts(corpus, [("clean_text", 1.0), ("title", title_weight)], ["article_id"], low, high)
+def gram_hashes(text: str, low: int, high: int) -> np.ndarray:
+    """64-bit hashes of the n-grams of each word between two blanks; ``text``: words joined by single blanks."""
+    c = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    blanks = np.r_[0, np.cumsum(c == 32)]
+    out, h = [], c
+    for n in range(2, high + 1):
+        if len(h) < 2:
+            break
+        h = h[:-1] * np.uint64(_MIX) + c[n - 1 :]
+        if n >= low:  # a blank may open or close an n-gram, not stand inside
+            inside = blanks[n - 1 : len(h) + n - 1] - blanks[1 : len(h) + 1]
+            g = h[inside == 0] ^ np.uint64(n)
+            g ^= g >> np.uint64(29)
+            g *= np.uint64(0xBF58476D1CE4E5B9)
+            out.append(g ^ (g >> np.uint64(32)))
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+
+
+def count_grams(parts: list[tuple[str, float]], low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, weighted counts) over (text, weight) parts; long texts piece by piece."""
+    keys, counts = np.zeros(0, np.int64), np.zeros(0)
+    for text, weight in parts:
+        at = 0
+        while at < len(text):
+            end = len(text) if len(text) - at <= PIECE else text.find(" ", at + PIECE)
+            end = len(text) if end < 0 else end
+            new = gram_hashes(text[at:end], low, high)
+            both, w = np.concatenate([keys, new]), np.concatenate([counts, np.full(len(new), weight)])
+            keys, back = np.unique(both, return_inverse=True)
+            counts = np.bincount(back, weights=w, minlength=len(keys))
+            at = end + 1
+    return keys, counts
+
+
+def hashed_grams(texts: DataFrame, parts: list[tuple[str, float]], key: str, low: int = 3, high: int = 5, rows: int = 256) -> DataFrame:
+    """(key, gram, cnt): hashed n-grams of each row's text parts times their weights, one row a gram of a row;
+    ``key`` is unique. Nothing is shuffled."""
+    words = [F.array_join(T.blank_words(F.lower(F.coalesce(F.col(c), F.lit("")))), " ").alias(f"__{i}") for i, (c, _) in enumerate(parts)]
+    weights = [w for _, w in parts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
+                found = [count_grams([(t, w) for t, w in zip(texts, weights) if t], low, high) for texts in zip(*(part.column(i + 1).to_pylist() for i in range(len(weights))))]
+                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(k) for k, _ in found])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([k for k, _ in found]), pa.int64()), pa.array(np.concatenate([c for _, c in found]), pa.float64())], names=[key, "gram", "cnt"])
+
+    return texts.select(F.col(key).cast("bigint").alias(key), *words).mapInArrow(run, f"`{key}` bigint, gram bigint, cnt double")
+
+
+def _tf(sublinear: bool) -> Column:
+    return 1 + F.ln("cnt") if sublinear else F.col("cnt")
+
+
+def chargram_idf(counts: DataFrame, corpus: DataFrame, min_df: int = 2) -> DataFrame:
+    """(gram, df, idf) of grams in ``min_df`` articles at least: partial counts, one shuffle of distinct grams."""
     n = corpus.agg(F.count("*").alias("n"))
-    idf = counts.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).crossJoin(F.broadcast(n)).select("gram", "df", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    tf = 1 + F.ln("cnt") if sublinear else F.col("cnt")
-    raw = counts.join(idf, "gram").select("gram", "article_id", (tf * F.col("idf")).alias("w"))
-    norms = raw.groupBy("article_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    postings = raw.join(norms, "article_id").select("gram", "article_id", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0).alias("weight"))
-    return postings, idf
+    df = counts.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    return df.crossJoin(F.broadcast(n)).select("gram", "df", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n is one row
+
+
+def _weighed_grams(counts: DataFrame, idf: DataFrame, sublinear: bool, keep: Column) -> DataFrame:
+    """(article_id, norm, hits): the length of each article's vector and its (gram, w) where ``keep``."""
+    raw = counts.join(few(idf, BROADCAST_GRAMS), "gram").withColumn("w", _tf(sublinear) * F.col("idf"))
+    hits = F.collect_list(F.when(keep, F.struct("gram", "w")))
+    return raw.groupBy("article_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), hits.alias("hits"))
+
+
+def _as_postings(weighed: DataFrame) -> DataFrame:
+    unit = F.when(F.col("norm") > 0, F.col("h.w") / F.col("norm")).otherwise(0.0)
+    return weighed.select("article_id", "norm", F.explode("hits").alias("h")).select("h.gram", "article_id", unit.alias("weight"))
+
+
+def chargram_index(corpus: DataFrame, low: int = 3, high: int = 5, min_df: int = 2, sublinear: bool = True, title_weight: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """(postings (gram, article_id, weight), idf (gram, df, idf)) with hashed grams; rows have unit length over
+    the vocabulary. To be saved once and scored against any queries by :func:`chargram_scores_from`."""
+    counts = hashed_grams(corpus, [("clean_text", 1.0), ("title", title_weight)], "article_id", low, high)
+    ensure_checkpoints(corpus.sparkSession)
+    idf = chargram_idf(counts, corpus, min_df).checkpoint()
+    return _as_postings(_weighed_grams(counts, idf, sublinear, F.lit(True))), idf
 
 
 def chargram_queries(queries: DataFrame, idf: DataFrame, low: int = 3, high: int = 5, sublinear: bool = True) -> DataFrame:
     """(query_id, gram, qw): unit query vectors over the vocabulary."""
-    counts = gram_counts(queries, [("query_text", 1.0)], ["query_id"], low, high)
-    tf = 1 + F.ln("cnt") if sublinear else F.col("cnt")
-    raw = idf.join(few(counts, BROADCAST_TERMS), "gram").select("query_id", "gram", (tf * F.col("idf")).alias("w"))
+    counts = hashed_grams(queries, [("query_text", 1.0)], "query_id", low, high)
+    raw = idf.join(few(counts, BROADCAST_TERMS), "gram").select("query_id", "gram", (_tf(sublinear) * F.col("idf")).alias("w"))
     norms = raw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, "query_id").select("query_id", "gram", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0).alias("qw"))
 
 
-def chargram_scores(corpus: DataFrame, queries: DataFrame, low: int = 3, high: int = 5, min_df: int = 2, sublinear: bool = True, title_weight: float = 2.0) -> DataFrame:
-    """Cosine of every pair with a shared gram."""
-    postings, idf = chargram_index(corpus, low, high, min_df, sublinear, title_weight)
+def chargram_scores_from(postings: DataFrame, idf: DataFrame, queries: DataFrame, low: int = 3, high: int = 5, sublinear: bool = True) -> DataFrame:
+    """Cosine of every pair with a shared gram, from an index made before."""
     return score_postings(chargram_queries(queries, idf, low, high, sublinear), postings, query_weight="qw", key="gram")
+
+
+def chargram_scores(corpus: DataFrame, queries: DataFrame, low: int = 3, high: int = 5, min_df: int = 2, sublinear: bool = True, title_weight: float = 2.0) -> DataFrame:
+    """Cosine of every pair with a shared gram. All grams of an article count in its norm, inside its row; only
+    those of the queries leave it."""
+    ensure_checkpoints(corpus.sparkSession)
+    counts = hashed_grams(corpus, [("clean_text", 1.0), ("title", title_weight)], "article_id", low, high)
+    idf = chargram_idf(counts, corpus, min_df).checkpoint()
+    terms = chargram_queries(queries, idf, low, high, sublinear).checkpoint()
+    asked = terms.select("gram").distinct().withColumn("asked", F.lit(True))
+    flagged = idf.join(few(asked, BROADCAST_TERMS), "gram", "left")
+    return score_postings(terms, _as_postings(_weighed_grams(counts, flagged, sublinear, F.col("asked"))), query_weight="qw", key="gram")

@@ -10,6 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGITS = 6
+BROADCAST_GROUPS = 500_000
+
+
+def few(df: DataFrame, most: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows; a shuffled join serves otherwise."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def best_first(score: str = "score", ident: str = "article_id") -> list[Column]:
@@ -39,15 +45,21 @@ def retrieval_frame(scores: DataFrame, k: int, source: str) -> DataFrame:
     return top_k(scores, k).select("query_id", "article_id", "score", "rank", F.lit(source).alias("source"))
 
 
+def _with_stats(scores: DataFrame, by: tuple[str, ...], *stats: Column) -> DataFrame:
+    """Each row beside its group's statistics. They are partial sums and one row a group, which joins back
+    broadcast or, beyond the bound, shuffled: no group has to fit into one task."""
+    return scores.join(few(scores.groupBy(*by).agg(*stats), BROADCAST_GROUPS), list(by))
+
+
 def minmax(scores: DataFrame, n_articles: int | None = None, by: tuple[str, ...] = ("query_id",), out: str = "norm") -> DataFrame:
     """Min-max per group; a constant group gives 0. ``n_articles``: articles in all - when a group lists
     fewer, the others score 0 and count in the minimum and maximum."""
-    group = Window.partitionBy(*by)
-    low, high = F.min("score").over(group), F.max("score").over(group)
+    wide = _with_stats(scores, by, F.min("score").alias("__lo"), F.max("score").alias("__hi"), F.count("*").alias("__n"))
+    low, high = F.col("__lo"), F.col("__hi")
     if n_articles is not None:
-        partial = F.count("*").over(group) < n_articles
+        partial = F.col("__n") < n_articles
         low, high = F.when(partial, F.least(low, F.lit(0.0))).otherwise(low), F.when(partial, F.greatest(high, F.lit(0.0))).otherwise(high)
-    return scores.withColumn(out, F.coalesce((F.col("score") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0)))
+    return wide.withColumn(out, F.coalesce((F.col("score") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))).select(*scores.columns, out)
 
 
 def reciprocal_rank(scores: DataFrame, by: tuple[str, ...] = ("query_id",), out: str = "rr") -> DataFrame:
@@ -55,8 +67,8 @@ def reciprocal_rank(scores: DataFrame, by: tuple[str, ...] = ("query_id",), out:
 
 
 def zscore(scores: DataFrame, by: tuple[str, ...] = ("query_id",), out: str = "z") -> DataFrame:
-    group = Window.partitionBy(*by)
-    return scores.withColumn(out, (F.col("score") - F.avg("score").over(group)) / (F.stddev_pop("score").over(group) + 1e-6))
+    wide = _with_stats(scores, by, F.avg("score").alias("__mean"), F.stddev_pop("score").alias("__sd"))
+    return wide.withColumn(out, (F.col("score") - F.col("__mean")) / (F.col("__sd") + 1e-6)).select(*scores.columns, out)
 
 
 def margins(scores: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from siftwell.plans.config import DEFAULTS
 from siftwell.sources import sinks, tables
 
 WEIGHTS = {"bm25": 0.6, "char": 0.4}
+DEEP = 51  # no registered measure looks further, save first_rank
 GRID = [[1.0, 0.0], [0.0, 1.0], [0.5, 0.5], [0.6, 0.4], [0.8, 0.2], [0.3, 0.7]]
 FUSION_HEAD = ltr.Logistic(("bm25_norm", "bm25_rr", "char_norm", "char_rr"), (1.5, 0.5, 1.0, 0.25), -1.0, (0.1, 0.05, 0.1, 0.05), (0.5, 0.25, 0.5, 0.25))
 BLEND_HEAD = ltr.Logistic(("fusion_norm", "fusion_rr", "rerank_norm", "rerank_rr"), (1.0, 0.5, 2.0, 0.5), -0.5, (0.5, 0.1, 0.5, 0.1), (0.25, 0.2, 0.25, 0.2))
@@ -39,7 +40,7 @@ class Lab:
 
     @cached_property
     def corpus(self) -> DataFrame:
-        return corpus.from_documents(self.table("documents"))
+        return corpus.from_documents(tables.spread(self.table("documents").select("doc_id", "text")))
 
     @cached_property
     def n(self) -> int:
@@ -126,11 +127,12 @@ class Lab:
 
     @cached_property
     def per_query(self) -> DataFrame:
-        return metrics.per_query(rank.with_rank(self.bm25), self.labels, self.queries)
+        """Quality of each query's first ``DEEP`` articles; a relevant one further down counts as not found."""
+        return metrics.per_query(rank.top_k(self.bm25, DEEP), self.labels, self.queries)
 
     @cached_property
     def per_query_fused(self) -> DataFrame:
-        return metrics.per_query(rank.with_rank(self.fused), self.labels, self.queries)
+        return metrics.per_query(rank.top_k(self.fused, DEEP), self.labels, self.queries)
 
 
 def r6(df: DataFrame, *cols: str) -> DataFrame:
@@ -305,10 +307,10 @@ query("splits", S.sql("SELECT * FROM splits", "splits"))(lambda x: x.splits)
 query("fold_sizes", S.sql("SELECT split, fold, count(*) AS n FROM splits GROUP BY ALL", "splits"))(lambda x: splits.fold_sizes(x.splits))
 query("ap_at_10", S.sql("SELECT query_id, n_rel, round(ap, 6) AS ap FROM pq", "pq"))(lambda x: r6(x.per_query, "ap").select("query_id", "n_rel", "ap"))
 query("recall_at_k", S.sql("SELECT query_id, round(recall_10, 6) AS recall_10, round(recall_20, 6) AS recall_20, round(recall_30, 6) AS recall_30 FROM p", "bm25_r", "queries", "labels_t", p=S.per_query("bm25_r", ks=(10, 20, 30))))(
-    lambda x: r6(metrics.per_query(rank.with_rank(x.bm25), x.labels, x.queries, 10, (10, 20, 30)), "recall_10", "recall_20", "recall_30").select("query_id", "recall_10", "recall_20", "recall_30")
+    lambda x: r6(metrics.per_query(rank.top_k(x.bm25, 30), x.labels, x.queries, 10, (10, 20, 30)), "recall_10", "recall_20", "recall_30").select("query_id", "recall_10", "recall_20", "recall_30")
 )
 query("map_report", S.sql("SELECT count(*) AS n_queries, round(avg(ap), 6) AS map, round(avg(recall_10), 6) AS recall_10 FROM pq", "pq"))(lambda x: metrics.summary(x.per_query))
-query("first_rank", S.sql("SELECT query_id, first_rank FROM pq", "pq"))(lambda x: x.per_query.select("query_id", "first_rank"))
+query("first_rank", S.sql("SELECT query_id, first_rank FROM pq", "pq"))(lambda x: metrics.per_query(rank.with_rank(x.bm25), x.labels, x.queries).select("query_id", "first_rank"))
 query("stage_summary", S.sql("SELECT count(*) AS n, round(avg(ap), 6) AS map, round(avg((first_rank <= 10)::INTEGER::DOUBLE), 6) AS hit_10, round(avg(least(first_rank, 51)), 6) AS mean_first_rank FROM pq", "pq"))(lambda x: diagnostics.stage_summary(x.per_query))
 query(
     "funnel",

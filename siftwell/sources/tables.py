@@ -19,6 +19,13 @@ def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than the cluster has cores (a small file, one row group) dealt out to all of
+    them; any larger scan as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_feather(spark: SparkSession, path: str, parquet: str) -> DataFrame:
     """A Feather file, converted once: batches stream into one Parquet file that Spark then scans. The file
     is a local one of the driver (Spark has no such source); ``parquet`` may be any store Spark writes to."""
