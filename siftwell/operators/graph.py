@@ -19,7 +19,7 @@ def link_edges(articles: DataFrame, html: str = "body", pattern: str = r"/articl
     return known.union(known.select("dst", "src")).distinct()
 
 
-def shared_target_edges(links: DataFrame, most: int = 1000) -> DataFrame:
+def shared_target_edges(links: DataFrame) -> DataFrame:
     """(src, dst), src < dst, chains of pages that share a link target (page_id, target): each page is tied
     to the least page of the target, which keeps components without pairing all pages."""
     least = links.groupBy("target").agg(F.min("page_id").alias("src"))

@@ -7,6 +7,7 @@ conversations feed the placeholder operators.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -19,6 +20,7 @@ from siftwell.functions import text as T
 from siftwell.functions.html import html_to_text
 from siftwell.operators import answers, contracts, corpus, dense, diagnostics, fusion, graph, lexical, ltr, metrics, rank, rerank, splits, stats, tuning
 from siftwell.plans import sqltext as S
+from siftwell.plans import stages
 from siftwell.plans.config import DEFAULTS
 from siftwell.sources import sinks, tables
 
@@ -299,7 +301,18 @@ query(
     "paired_top3",
     S.sql("SELECT r.query_id, r.article_id, r.rank, coalesce(max((c.a IS NOT NULL)::INTEGER), 0) AS paired FROM bm25_top r LEFT JOIN bm25_top t ON t.query_id = r.query_id AND t.rank < 3 AND t.article_id <> r.article_id LEFT JOIN co c ON c.a = r.article_id AND c.b = t.article_id GROUP BY ALL", "bm25_top", "co"),
 )(lambda x: graph.paired_with_top(rank.top_k(x.bm25, 10).drop("score"), graph.co_labels(x.labels)))
-query("shared_edges", S.sql("SELECT c.* FROM co c SEMI JOIN links2 l ON l.src = c.a AND l.dst = c.b WHERE c.a < c.b", "co", "links2"))(lambda x: graph.shared_edges(graph.co_labels(x.labels), x.page_graph))
+query("shared_edges", S.sql("SELECT c.* FROM co c SEMI JOIN near l ON l.a = c.a AND l.b = c.b WHERE c.a < c.b", "co", "bm25_top", near="SELECT DISTINCT x.article_id AS a, y.article_id AS b FROM bm25_top x JOIN bm25_top y USING (query_id) WHERE x.article_id <> y.article_id"))(
+    lambda x: graph.shared_edges(graph.co_labels(x.labels), graph.co_labels(rank.top_k(x.bm25, 10)).select(F.col("a").alias("src"), F.col("b").alias("dst")))  # label pairs that are retrieved together
+)
+query("link_edges", S.sql("SELECT src, dst FROM known UNION SELECT dst, src FROM known", known="SELECT src, dst FROM (SELECT doc_id AS src, unnest([doc_id * 7 % 1009, doc_id // 2, 1000000 + doc_id]) AS dst FROM documents) l SEMI JOIN documents d ON d.doc_id = l.dst WHERE src <> dst"))(lambda x: graph.link_edges(_linked(x)))
+
+
+def _linked(x: Lab) -> DataFrame:
+    """Articles whose bodies link to others, known and unknown, some twice."""
+    href = lambda to: F.concat(F.lit('<a href="/articles/'), to.cast("string"), F.lit('">x</a>'))
+    i = F.col("doc_id")
+    return x.table("documents").select(i.alias("article_id"), F.concat(href(i * 7 % 1009), href(F.floor(i / 2)), href(i + 1_000_000), href(i * 7 % 1009)).alias("body"))
+
 
 # ---- splits, metrics, diagnostics ------------------------------------------------------------------
 
@@ -376,24 +389,92 @@ query("answer_profile", S.sql("SELECT min(n)::BIGINT AS min_ids, quantile_cont(n
     lambda x: answers.answer_profile(answers.build_answers(rank.top_k(x.bm25, 10), x.queries))
 )
 query("answer_titles", S.sql("SELECT query_id, string_agg(article_id || ': ' || title, ' | ' ORDER BY rank) AS titles FROM bm25_top JOIN corpus USING (article_id) GROUP BY query_id", "bm25_top", "corpus"))(lambda x: answers.render_titles(rank.top_k(x.bm25, 10), x.corpus))
-query("contract_violations", S.sql("SELECT rule, 0::BIGINT AS violations FROM (VALUES ('unique_queries'), ('missing_queries'), ('extra_queries'), ('empty_answers'), ('long_answers'), ('repeated_ids'), ('unknown_ids')) v(rule)"))(
-    lambda x: contracts.answer_violations(answers.build_answers(rank.top_k(x.bm25, 10), x.queries), x.queries, x.corpus)
+
+
+def _count(rules: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{rule}' AS rule, (SELECT count(*) FROM ({rows})) AS violations" for rule, rows in rules.items())
+
+
+_UNKNOWN = "SELECT 1 FROM {0} ANTI JOIN corpus ON corpus.article_id = {0}.article_id"
+_TWICE = "SELECT 1 FROM {0} GROUP BY query_id, article_id HAVING count(*) > 1"
+_PLANTED_SCORES = """SELECT query_id, article_id, score FROM bm25 UNION ALL SELECT query_id, article_id, score FROM bm25 WHERE article_id % 7 = 0
+UNION ALL SELECT query_id, -1 - query_id, 1e0 FROM queries WHERE query_id % 3 = 0 UNION ALL SELECT query_id, 0, CASE WHEN query_id % 2 = 0 THEN 'NaN'::DOUBLE END FROM queries WHERE query_id % 5 = 0"""
+_PLANTED_FRAME = """SELECT query_id, article_id, rank + CASE WHEN query_id % 4 = 0 THEN 1 ELSE 0 END AS rank FROM bm25_r WHERE rank < 20
+UNION ALL SELECT query_id, article_id, rank FROM bm25_r WHERE rank < 20 AND query_id % 5 = 0 AND rank = 3 UNION ALL SELECT query_id, -1 - query_id, 20 FROM queries WHERE query_id % 3 = 0"""
+
+
+def _faulty_scores(x: Lab) -> DataFrame:
+    """BM25 scores with planted faults: pairs twice, unknown articles, scores that are NaN or null."""
+    q = F.col("query_id")
+    extra = x.queries.where(q % 3 == 0).select("query_id", (-1 - q).alias("article_id"), F.lit(1.0).alias("score"))
+    bad = x.queries.where(q % 5 == 0).select("query_id", F.lit(0).cast("bigint").alias("article_id"), F.when(q % 2 == 0, F.lit(float("nan"))).alias("score"))
+    return x.bm25.union(x.bm25.where("article_id % 7 = 0")).union(extra).union(bad)
+
+
+def _faulty_frame(x: Lab) -> DataFrame:
+    """A retrieval frame with planted faults: shifted ranks, rows twice, unknown articles."""
+    q, frame = F.col("query_id"), rank.retrieval_frame(x.bm25, 20, "bm25")
+    shifted = frame.withColumn("rank", F.col("rank") + F.when(q % 4 == 0, 1).otherwise(0))
+    extra = x.queries.where(q % 3 == 0).select("query_id", (-1 - q).alias("article_id"), F.lit(0.0).alias("score"), F.lit(20).cast("bigint").alias("rank"), F.lit("bm25").alias("source"))
+    return shifted.union(frame.where((q % 5 == 0) & (F.col("rank") == 3))).union(extra)
+
+
+def _faulty_answers(x: Lab) -> DataFrame:
+    """Answers with a planted fault by query: left out, twice, empty, too long with repeats, unknown or unreadable ids."""
+    r = F.col("query_id") % 7
+    ids = F.when(r == 2, "").when(r == 3, "0 1 2 3 4 5 6 7 8 9 0 1").when(r == 4, "1 -5").when(r == 5, " 2  x ").otherwise("1 2")
+    rows = x.queries.select("query_id", ids.alias("answer")).where(r != 0)
+    return rows.union(rows.where(F.col("query_id") % 7 == 1)).union(x.queries.where(r == 6).select(F.col("query_id") + 100_000, F.lit("1")))
+
+
+_PLANTED_ANSWERS = """SELECT query_id, CASE query_id % 7 WHEN 2 THEN '' WHEN 3 THEN '0 1 2 3 4 5 6 7 8 9 0 1' WHEN 4 THEN '1 -5' WHEN 5 THEN ' 2  x ' ELSE '1 2' END AS answer, n
+FROM queries, (VALUES (1), (2)) v(n) WHERE query_id % 7 <> 0 AND (n = 1 OR query_id % 7 = 1) UNION ALL SELECT query_id + 100000, '1', 1 FROM queries WHERE query_id % 7 = 6"""
+_ANSWER_IDS = "SELECT query_id, list_filter(string_split(answer, ' '), lambda w: w <> '') AS ids FROM planted"
+query("contract_violations", S.sql(_count({
+    "unique_queries": "SELECT 1 FROM planted GROUP BY query_id HAVING count(*) > 1",
+    "missing_queries": "SELECT 1 FROM queries ANTI JOIN planted USING (query_id)",
+    "extra_queries": "SELECT 1 FROM planted ANTI JOIN queries USING (query_id)",
+    "empty_answers": "SELECT 1 FROM split WHERE len(ids) = 0",
+    "long_answers": "SELECT 1 FROM split WHERE len(ids) > 10",
+    "repeated_ids": "SELECT 1 FROM split WHERE len(list_distinct(ids)) < len(ids)",
+    "unknown_ids": "SELECT 1 FROM (SELECT unnest(ids) AS a FROM split) WHERE NOT coalesce(try_cast(a AS BIGINT) IN (SELECT article_id FROM corpus), false)",
+}), "queries", "corpus", planted=_PLANTED_ANSWERS, split=_ANSWER_IDS))(lambda x: contracts.answer_violations(_faulty_answers(x), x.queries, x.corpus))
+query("score_contract", S.sql(_count({"finite_scores": "SELECT 1 FROM planted WHERE score IS NULL OR NOT isfinite(score)", "unique_pairs": _TWICE.format("planted"), "known_articles": _UNKNOWN.format("planted")}), "bm25", "queries", "corpus", planted=_PLANTED_SCORES))(
+    lambda x: contracts.score_violations(_faulty_scores(x), x.corpus)
+)
+query("retrieval_contract", S.sql(_count({"unique_pairs": _TWICE.format("planted"), "known_articles": _UNKNOWN.format("planted"), "dense_ranks": "SELECT 1 FROM planted GROUP BY query_id HAVING min(rank) <> 0 OR max(rank) <> count(*) - 1 OR count(DISTINCT rank) <> count(*)"}), "bm25_r", "queries", "corpus", planted=_PLANTED_FRAME))(
+    lambda x: contracts.retrieval_violations(_faulty_frame(x), x.corpus)
 )
-query("score_contract", S.sql("SELECT rule, 0::BIGINT AS violations FROM (VALUES ('finite_scores'), ('unique_pairs'), ('known_articles')) v(rule)"))(lambda x: contracts.score_violations(x.bm25, x.corpus))
-query("retrieval_contract", S.sql("SELECT rule, 0::BIGINT AS violations FROM (VALUES ('unique_pairs'), ('known_articles'), ('dense_ranks')) v(rule)"))(lambda x: contracts.retrieval_violations(rank.retrieval_frame(x.bm25, 20, "bm25"), x.corpus))
 query("aligned_sources", S.sql("SELECT source, (SELECT count(*) FROM (SELECT DISTINCT query_id, article_id FROM src)) - count(*) AS missing FROM src GROUP BY source", "src"))(lambda x: contracts.same_pairs(x.sources))
-_RUNS = [("a", "bm25", "dev", 1, 0.30), ("a", "bm25", "dev", 3, 0.33), ("a", "char", "dev", 2, 0.22), ("b", "bm25", "dev", 1, 0.31)]
 
 
 def _runs(x: Lab) -> DataFrame:
-    return x.spark.createDataFrame(_RUNS, "config_hash string, retriever string, split string, created_at bigint, map double")
+    """Runs of settings, retriever and split, told from the events: each event is one measurement of its key."""
+    e = x.table("events")
+    return e.select((F.col("user_id") % 12).cast("string").alias("config_hash"), F.col("event_type").alias("retriever"), F.when(F.col("event_id") % 3 == 0, "holdout").otherwise("dev").alias("split"), F.col("event_id").alias("created_at"), F.round(F.col("value") / 100, 6).alias("map"))
 
 
-_RUNS_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {d}::BIGINT, {e}::DOUBLE)" for a, b, c, d, e in _RUNS) + ") v(config_hash, retriever, split, created_at, map)"
-query("experiments_latest", f"SELECT * FROM {_RUNS_SQL} QUALIFY row_number() OVER (PARTITION BY config_hash, retriever, split ORDER BY created_at DESC) = 1")(lambda x: sinks.upsert(_runs(x).limit(2), _runs(x), ["config_hash", "retriever", "split"]))
-query("runs_ranked", f"SELECT *, row_number() OVER (ORDER BY map DESC, config_hash, retriever) AS place FROM (SELECT * FROM {_RUNS_SQL} QUALIFY row_number() OVER (PARTITION BY config_hash, retriever, split ORDER BY created_at DESC) = 1)")(
-    lambda x: rank.keep_latest(_runs(x), ["config_hash", "retriever", "split"], "created_at").selectExpr("*", "cast(row_number() over (order by map desc, config_hash, retriever) as bigint) as place")
+_RUNS_SQL = "(SELECT (user_id % 12)::VARCHAR AS config_hash, event_type AS retriever, CASE WHEN event_id % 3 = 0 THEN 'holdout' ELSE 'dev' END AS split, event_id AS created_at, round(value / 100, 6) AS map FROM events)"
+_RUN_KEY = ["config_hash", "retriever", "split"]
+_LATEST = f"SELECT * FROM {_RUNS_SQL} QUALIFY row_number() OVER (PARTITION BY config_hash, retriever, split ORDER BY created_at DESC) = 1"
+query("experiments_latest", _LATEST)(lambda x: sinks.upsert(_runs(x).where("created_at % 2 = 0"), _runs(x).where("created_at % 2 = 1"), _RUN_KEY))
+query("runs_ranked", f"SELECT *, row_number() OVER (ORDER BY map DESC, config_hash, retriever, split) AS place FROM ({_LATEST})")(
+    lambda x: stages.compare([_runs(x).where(f"created_at % 3 = {k}") for k in range(3)]).selectExpr("*", "row_number() over (order by map desc, config_hash, retriever, split) as place").withColumn("place", F.col("place").cast("bigint"))
 )
+
+
+@query("run_catalogue", f"SELECT config_hash, retriever, split, created_at, map, split || '.csv' AS file FROM {_RUNS_SQL} WHERE map > 0.05")
+def run_catalogue(x: Lab) -> DataFrame:
+    """Runs written as CSV files by split, some without a metric, found again by a path pattern."""
+    graph.ensure_checkpoints(x.spark)
+    root = f"{x.spark.sparkContext.getCheckpointDir()}/runs-{uuid.uuid4().hex}"
+    rows = _runs(x).withColumn("map", F.when(F.col("map") > 0.05, F.col("map")))
+    for split in ("dev", "holdout"):
+        rows.where(F.col("split") == split).write.option("header", True).csv(f"{root}/{split}.csv")
+    found = tables.run_catalogue(x.spark, f"{root}/*.csv", "config_hash string, retriever string, split string, created_at bigint, map double")
+    return found.withColumn("file", F.regexp_extract("file", "/([a-z]+[.]csv)/", 1))
+
+
 _VARIANTS = f"""SELECT query_id, 'original' AS variant, query_text FROM queries UNION ALL
 SELECT query_id, 'polite_noise', '{perturb.POLITE_PREFIX}' || query_text FROM queries UNION ALL
 SELECT query_id, 'topic_distractor', query_text || '{perturb.DISTRACTOR}' FROM queries UNION ALL

@@ -266,7 +266,7 @@ class Run:
 def compare(runs: list[DataFrame], metric: str = "map") -> DataFrame:
     """All runs' tables together, the latest of each key, best first."""
     both = rank.keep_latest(tables.union_runs(runs), ["config_hash", "retriever", "split"], "created_at")
-    return both.orderBy(F.col(metric).desc(), "config_hash", "retriever")
+    return both.orderBy(F.col(metric).desc(), "config_hash", "retriever", "split")
 
 
 def sweep(spark: SparkSession, root: str, articles: DataFrame, labelled: DataFrame, queries: DataFrame, variants: dict[str, list[str]], keep: int | None = None) -> DataFrame:
