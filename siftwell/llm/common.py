@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARROW_ROWS = 1024
+ARROW_ROWS = 256
 _scopes: list[list[str]] = []
 
 
