@@ -203,15 +203,16 @@ def slots(groups: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
 
 def pack(docs: DataFrame, vocabulary: str | None = None, text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut, _ = materialize(pieces(docs, vocabulary or default_vocabulary(), text, capacity), "pieces")
+    # "__at" is written with the rows: it tells repeated rows apart, so that they too are ranked in many parts.
+    cut, _ = materialize(pieces(docs, vocabulary or default_vocabulary(), text, capacity).withColumn("__at", F.monotonically_increasing_id()), "pieces")
     counts = {int(r.length): int(r.n) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs = slots(solve(counts, capacity))
     salts = int(min(4096, max(64, sum(counts.values()) // 500_000)))  # ranks are counted in so many parts of a length
-    salted = cut.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = cut.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "__at"), F.lit(salts)))
     per = salted.groupBy("length", "__salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     base = per.select("length", "__salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
-    inner = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")
+    inner = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32", "__at")
     ranked = salted.withColumn("__row", F.row_number().over(inner) - 1).join(base, ["length", "__salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("__base") + F.col("__row")).cast("bigint").alias("rank"))
 
