@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import materialize, slices, texts
+from siftwell.llm.common import gathered, materialize, slices, texts
 from siftwell.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, vocabulary: str, text: str = "text", capacity: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, step = encoder(vocabulary).encode_many, 4 * capacity
-        for batch in slices(batches):
+        for batch in slices(gathered(batches)):
             cols: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()])):
                 raw = ids + b"\0\0\0\0"
