@@ -22,7 +22,9 @@ def lexical_score(query: str = "query_text", passage: str = "passage") -> Column
 
 
 Backend = Callable[[pd.Series, pd.Series], pd.Series]
+Listwise = Callable[[str, list[str]], list[float]]
 BACKENDS: dict[str, Callable[[], Backend]] = {}
+LISTWISE: dict[str, Callable[[], Listwise]] = {}
 
 
 def register_backend(name: str, build: Callable[[], Backend]) -> None:
@@ -30,11 +32,16 @@ def register_backend(name: str, build: Callable[[], Backend]) -> None:
     BACKENDS[name] = build
 
 
+def register_listwise(name: str, build: Callable[[], Listwise]) -> None:
+    """A neural scorer that sees all passages of a query at once; ``build()`` runs once a worker process."""
+    LISTWISE[name] = build
+
+
 def build_backend(name: str) -> Column | Callable[[], Backend]:
     if name == "lexical":
         return lexical_score()
     if name not in BACKENDS:
-        raise ValueError(f"unknown reranker {name!r}; known: lexical, {', '.join(sorted(BACKENDS))}")
+        raise ValueError(f"unknown reranker {name!r}; known: lexical, {', '.join(sorted({*BACKENDS, *LISTWISE}))}")
     return BACKENDS[name]
 
 
@@ -64,9 +71,28 @@ def score_listwise(pairs: DataFrame, scorer: Callable[[str, list[str]], list[flo
 
 def rerank(candidates: DataFrame, passages: DataFrame, queries: DataFrame, backend: str = "lexical") -> DataFrame:
     """(query_id, article_id, score): the best passage score of each candidate. ``passages``: (query_id,
-    article_id, passage) rows, one a chunk; candidates without a passage are left out."""
+    article_id, passage) rows, one a chunk; candidates without a passage are left out. A list-wise backend gets
+    all passages of a query in one call, any other one pairs."""
     pairs = candidates.select("query_id", "article_id").join(passages, ["query_id", "article_id"]).join(queries.select("query_id", "query_text"), "query_id")
-    return score_pairs(pairs, backend).groupBy("query_id", "article_id").agg(F.max("score").alias("score"))
+    if backend in LISTWISE:
+        build, built = LISTWISE[backend], []
+
+        def scorer(query: str, texts: list[str]) -> list[float]:
+            if not built:
+                built.append(build())
+            return built[0](query, texts)
+
+        scored = score_listwise(pairs, scorer)
+    else:
+        scored = score_pairs(pairs, backend)
+    return scored.groupBy("query_id", "article_id").agg(F.max("score").alias("score"))
+
+
+def training_passages(candidates: DataFrame, labels: DataFrame, chunks: DataFrame, queries: DataFrame, m: int = 1) -> DataFrame:
+    """:func:`best_passages` of the candidates and of every labelled article, found by retrieval or not: a
+    label outside the candidates is a training positive too."""
+    pair = ["query_id", "article_id"]
+    return best_passages(candidates.select(*pair).union(labels.select(*pair)).distinct(), chunks, queries, m)
 
 
 def masked_norm(scores: DataFrame, out: str = "norm") -> DataFrame:

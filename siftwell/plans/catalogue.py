@@ -541,6 +541,7 @@ def permutation(x: Lab) -> DataFrame:
 
 @query("fold_model_scores")
 def fold_model_scores(x: Lab) -> DataFrame:
-    """Every fold's fitted re-ranker on every candidate, not averaged: fitted on best chunks, all chunks scored."""
-    scores, _ = tuning.fold_scores(x.candidates, x.passages, x.queries, x.labels, x.splits, n_negatives=DEFAULTS["reranker"]["negatives"], training=x.best)
+    """Every fold's fitted re-ranker on every candidate, not averaged: fitted on the best chunks of candidates
+    and labelled articles, all chunks scored."""
+    scores, _ = tuning.fold_scores(x.candidates, x.passages, x.queries, x.labels, x.splits, n_negatives=DEFAULTS["reranker"]["negatives"], training=rerank.training_passages(x.candidates, x.labels, x.chunks, x.queries))
     return r6(scores)

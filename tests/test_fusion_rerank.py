@@ -168,3 +168,25 @@ def test_ensemble_subsets(spark):
     assert {r.subset: r.score for r in fusion.ensemble_subsets(s, 2).collect()} == {1: 1.0, 2: 3.0, 3: 2.0}
     with pytest.raises(ValueError):
         fusion.ensemble(s, "x")
+
+
+def test_listwise_backends_see_whole_lists(spark):
+    cand = spark.createDataFrame([(1, 10, 0), (1, 20, 1), (2, 10, 0)], "query_id bigint, article_id bigint, rank int")
+    passages = spark.createDataFrame([(1, 10, "a"), (1, 10, "aaa"), (1, 20, "aa"), (2, 10, "aaaa"), (3, 30, "x")], "query_id bigint, article_id bigint, passage string")
+    queries = spark.createDataFrame([(1, "q"), (2, "r")], "query_id bigint, query_text string")
+    rerank.register_listwise("longest_first", lambda: lambda q, ps: [len(p) / sum(map(len, ps)) for p in ps])
+    try:
+        got = {(r.query_id, r.article_id): round(r.score, 6) for r in rerank.rerank(cand, passages, queries, "longest_first").collect()}
+    finally:
+        rerank.LISTWISE.pop("longest_first")
+    assert got == {(1, 10): 0.5, (1, 20): 0.333333, (2, 10): 1.0}
+
+
+def test_training_passages_cover_labels_outside_the_candidates(spark):
+    cand = spark.createDataFrame([(1, 10, 0), (1, 20, 1), (1, 30, 2)], "query_id bigint, article_id bigint, rank int")
+    labels = spark.createDataFrame([(1, 10), (1, 40), (1, 10)], "query_id bigint, article_id bigint")
+    chunks = spark.createDataFrame([(a, c, f"text {a} {'key' if c else ''}") for a in (10, 20, 30, 40) for c in (0, 1)], "article_id bigint, chunk_id int, text string")
+    queries = spark.createDataFrame([(1, "key")], "query_id bigint, query_text string")
+    found = rerank.training_passages(cand, labels, chunks, queries)
+    assert sorted((r.article_id, r.chunk_id) for r in found.collect()) == [(10, 1), (20, 1), (30, 1), (40, 1)]
+    assert sorted(r.positive_id for r in rerank.training_groups(cand, labels, found, 2).collect()) == [10, 40]
