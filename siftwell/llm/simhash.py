@@ -22,7 +22,8 @@ many, is never paired up. Its stored and probing members take the exact way arou
 64 one-bit neighbours, and members that meet in such a ball (distance <= 2, and only those) are tied to the
 smallest of the meeting. That costs 65 rows a member, whatever the size of the bucket, and loses no connection.
 
-Components are found by alternating large-star and small-star steps on tables in the shared folder. The root
+Components are found by alternating large-star and small-star steps on tables in the shared folder, or on the
+driver where the links are few (their number is counted first; a bound, not a cut). The root
 of a giant component, or a very frequent fingerprint, is one join key with many rows on one side: adaptive
 execution splits that side (spark.sql.adaptive.skewJoin), the other has a row a key.
 Null and empty texts have fingerprint zero and link like others; rows with a null doc_id take part and
@@ -47,6 +48,7 @@ BITS = 64
 SEED = 42
 RADIUS = 2
 HOT_PROBES = 16
+DRIVER_EDGES = 200_000
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -232,11 +234,32 @@ def links(fps: DataFrame, radius: int = RADIUS, hot_bucket: int = 128) -> DataFr
     return pairs.union(small).union(wide).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def driver_components(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and their roots (least nodes) of a small graph; roots themselves are left out."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        nxt = root.copy()
+        for ends in (a, b, root[a], root[b]):  # an end and its root take the lower root of an edge
+            np.minimum.at(nxt, ends, low)
+        nxt = nxt[nxt]
+        if (nxt == root).all():
+            return nodes[root < np.arange(len(nodes))], nodes[root[root < np.arange(len(nodes))]]
+        root = nxt
+
+
+def components(edges: DataFrame, most_rounds: int = 60, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """(node, root): the least node of each component of the graph of ``edges`` (u, v), by alternating
-    large-star and small-star; a star forest is reached in about log(n) rounds."""
+    large-star and small-star; a star forest is reached in about log(n) rounds. Of ``driver_edges`` edges at
+    most (16 bytes each) the driver finds them without a job a round."""
     spark = edges.sparkSession
     now, path = materialize(edges.select("u", "v"), "edges")
+    if now.count() <= driver_edges:
+        got = now.toArrow()
+        node, root = driver_components(*(got.column(c).to_numpy() for c in ("u", "v")))
+        return spark.createDataFrame(pa.table({"node": pa.array(node, pa.int64()), "root": pa.array(root, pa.int64())}), "node bigint, root bigint")
     before = None
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -200,3 +200,19 @@ def test_one_row_of_each_group_stays_under_repeated_and_null_ids(spark):
     # One id that is the least of two groups keeps both of its texts.
     kept = S.dedup_documents(docs(spark, [(1, a), (1, b), (2, a), (2, b)])).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (1, b)]
+
+
+def test_small_graphs_take_no_job_a_round(spark, monkeypatch):
+    """Every round cost two scratch tables, of a file a shuffle partition each."""
+    import numpy as np
+
+    from siftwell.llm import simhash
+
+    pairs = np.random.default_rng(5).integers(-(1 << 40), 1 << 40, 300)[np.random.default_rng(6).integers(0, 300, (220, 2))]
+    rows = [tuple(sorted(map(int, p))) for p in pairs if p[0] != p[1]] + [(-5 - k, -4 - k) for k in range(60)]
+    edges = spark.createDataFrame(rows, "u bigint, v bigint")
+    want = {(r.node, r.root) for r in simhash.components(edges, driver_edges=0).collect()}
+    tags, plain = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, tag: tags.append(tag) or plain(df, tag))
+    assert {(r.node, r.root) for r in simhash.components(edges).collect()} == want and tags == ["edges"]
+    assert simhash.components(edges.where("u > v")).collect() == []
