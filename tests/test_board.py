@@ -89,3 +89,15 @@ def test_no_exchange_holds_a_row_a_pair(spark, name, tmp_path):
         df = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
     for plan in (*seen, df._jdf.queryExecution().executedPlan().toString()):
         assert not re.search(r"hashpartitioning\((source#\d+, query_id|gram|query_id#\d+L?, article_id)", plan)
+
+
+def test_gram_table_counts_inside_the_rows(spark, tables):
+    from pyspark.sql import functions as F
+
+    corpus, parts = tables[0].union(spark.createDataFrame([(8, "naïve 𝒳y", "a  ß x")], "article_id bigint, title string, clean_text string")), [("clean_text", 1.0), ("title", 2.0)]
+    want = lambda c: lexical.gram_counts(c, parts, ["article_id"]).groupBy("gram").agg(F.count("*").alias("df"), F.sum("cnt").alias("cnt"))
+    made = lexical.gram_table(corpus, parts, "article_id")
+    same(made, want(corpus), "gram")
+    assert "article_id" not in str(made._jdf.queryExecution().optimizedPlan().toString()).split("MapInArrow")[0]
+    twice = corpus.union(corpus.where("article_id = 4"))
+    same(lexical.gram_table(twice, parts, "article_id"), want(twice), "gram")
