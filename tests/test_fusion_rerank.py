@@ -190,3 +190,12 @@ def test_training_passages_cover_labels_outside_the_candidates(spark):
     found = rerank.training_passages(cand, labels, chunks, queries)
     assert sorted((r.article_id, r.chunk_id) for r in found.collect()) == [(10, 1), (20, 1), (30, 1), (40, 1)]
     assert sorted(r.positive_id for r in rerank.training_groups(cand, labels, found, 2).collect()) == [10, 40]
+
+
+def test_article_vectors_of_repeated_title_rows(spark):
+    from siftwell.operators import dense
+
+    rows = spark.createDataFrame([(0, 0, [3.0, 0.0]), (0, 0, [3.0, 0.0]), (0, 1, [0.0, 4.0])], "article_id bigint, chunk_id int, emb array<double>")
+    (got,) = dense.article_vectors(rows, rows.where("chunk_id = 0").select("article_id", "emb")).collect()
+    n = (5.0**2 + (4 / 3) ** 2) ** 0.5
+    assert [round(v, 9) for v in got.vec] == [round(5.0 / n, 9), round(4 / 3 / n, 9)]
