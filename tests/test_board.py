@@ -67,6 +67,34 @@ def test_repeated_ids_take_the_joins(spark, tables):
     assert board.build(corpus, queries.union(queries.where("query_id = 3"))) is None
 
 
+@pytest.mark.parametrize("name", ["char_tfidf_scores", "minmax_scores", "fusion_features", "candidates", "ensemble_z"])
+def test_repeated_ids_equal_the_sql(spark, name, tmp_path):
+    """Rows of one id, copies and other texts, count together and leave no joins of postings."""
+    import shutil
+
+    import duckdb
+
+    con, sf = duckdb.connect(), tmp_path / "sf"
+    shutil.copytree("/root/testdata/sf0.001", sf)
+    docs = "read_parquet('/root/testdata/sf0.001/documents.parquet')"
+    again = f"SELECT * FROM {docs} WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id - 1, text, lang, source, n_chars FROM {docs} WHERE doc_id % 5 = 4"
+    con.execute(f"CREATE TABLE documents AS SELECT * FROM {docs} UNION ALL {again}")
+    (sf / "documents.parquet").chmod(0o644)
+    sf.chmod(0o755)
+    con.execute(f"COPY documents TO '{sf}/documents.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{sf}/benchmark.parquet'")
+    df = catalogue.QUERIES[name](spark, str(sf))
+    assert not re.search(r"hashpartitioning\(gram", df._jdf.queryExecution().executedPlan().toString())
+    cur = con.execute(catalogue.ORACLES[name])
+    cols = [d[0] for d in cur.description]
+    key = [c for c in ("query_id", "article_id", "source") if c in cols]
+    want = {tuple(r[cols.index(c)] for c in key): r for r in cur.fetchall()}
+    got = {tuple(r[c] for c in key): tuple(r[c] for c in cols) for r in df.collect()}
+    assert got.keys() == want.keys() and got
+    for k, row in got.items():
+        assert all(math.isclose(a, b, abs_tol=2e-6) if isinstance(a, float) else a == b for a, b in zip(row, want[k])), (k, row, want[k])
+
+
 def test_places_find_keys_that_share_slots():
     keys = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000)
     found = board.Places(keys).find(np.concatenate([keys[::-1], keys + 1]))
