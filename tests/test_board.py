@@ -129,3 +129,17 @@ def test_gram_table_counts_inside_the_rows(spark, tables):
     assert "article_id" not in str(made._jdf.queryExecution().optimizedPlan().toString()).split("MapInArrow")[0]
     twice = corpus.union(corpus.where("article_id = 4"))
     same(lexical.gram_table(twice, parts, "article_id"), want(twice), "gram")
+
+
+def test_out_of_fold_scores_replace_without_a_join_of_pairs(spark, tables, made):
+    src, n, norms = tables[2], len(ARTICLES), made.norms()
+    folds = spark.createDataFrame([(7,), (9,), (11,)], "query_id bigint")
+    fused = fusion.weighted_sum(src, WEIGHTS, n).join(folds, "query_id", "left_semi")
+    same(made.replaced("bm25", np.array([7, 9, 11]), WEIGHTS, norms), fusion.replace_out_of_fold(src["bm25"], fused, folds), *PAIR)
+    same(made.replaced("bm25", np.array([], np.int64), WEIGHTS, norms), src["bm25"], *PAIR)
+
+
+def test_oof_replace_shuffles_no_pair(spark):
+    df = catalogue.QUERIES["oof_replace"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not re.search(r"Exchange|Join", plan), plan
