@@ -37,6 +37,20 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(df.columns) == sorted(cols) and got == want
 
 
+def test_article_vectors_keep_the_sign_of_small_components(spark, tmp_path):
+    """Compared by representation, -0.0 is not 0.0."""
+    import duckdb
+
+    rows = [(i, [1.0, s * 1e-7, s * 0.25, s * 0.0, *[0.0] * 60]) for i, s in enumerate((1.0, -1.0, -1.0, 1.0, -1.0))]
+    rows += [(5 + i, [1.0, -1e-7, -0.25, -0.0, *[0.0] * 60]) for i in range(5)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r.article_id, plain(r.vec)) for r in catalogue.QUERIES["article_vectors"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted((a, plain(v)) for a, v in con.execute(catalogue.ORACLES["article_vectors"]).fetchall())
+    assert got == want and "-0.0'" in dict(got)[1]
+
+
 def test_entry_imports_without_the_optional_parts():
     import subprocess
     import sys
